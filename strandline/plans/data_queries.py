@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from strandline.operators import dedup, nested
+from strandline.operators import dedup, hierarchy, nested, schema_drift
 from strandline.runtime import table
 
 QUERIES = {}
@@ -68,3 +69,49 @@ SELECT session_id, type, min(seq) AS lo, max(seq) AS hi, max(seq) - min(seq) + 1
   SELECT *, seq - row_number() OVER (PARTITION BY session_id, type ORDER BY seq) AS island
   FROM (SELECT DISTINCT session_id, type, seq FROM ({COPIES}) WHERE mid IS NULL AND seq IS NOT NULL))
 GROUP BY session_id, type, island"""
+
+
+@query
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Root and depth of each session."""
+    return hierarchy.build_hierarchy(table(spark, sf_dir, "fts_sessions")).select("session_id", "root_id", "depth")
+
+
+@query
+def p1_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Path, parent and number of descendants of each session."""
+    return hierarchy.add_paths(hierarchy.build_hierarchy(table(spark, sf_dir, "fts_sessions"))).select("session_id", "root_id", "depth", "parent_id", "path", "descendants")
+
+
+#: Latest row of each session, its resolved parent, and the walk down from the roots.
+WALK = """
+WITH RECURSIVE latest AS (
+  SELECT id, nullif(lower(trim(parent_session)), '') AS parent FROM (
+    SELECT *, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC, lower(trim(parent_session)) DESC NULLS LAST) AS k FROM fts_sessions WHERE id IS NOT NULL)
+  WHERE k = 1),
+edge AS (SELECT a.id, b.id AS parent_id FROM latest a LEFT JOIN (SELECT lower(trim(id)) AS name, min(id) AS id FROM latest GROUP BY 1) b ON a.parent = b.name),
+walk AS (
+  SELECT id, id AS root_id, CAST(0 AS BIGINT) AS depth, id AS path FROM edge WHERE parent_id IS NULL
+  UNION ALL
+  SELECT e.id, w.root_id, w.depth + 1, w.path || '/' || e.id FROM walk w JOIN edge e ON e.parent_id = w.id)"""
+
+SQL["p1_found"] = WALK + " SELECT e.id AS session_id, coalesce(w.root_id, '') AS root_id, coalesce(w.depth, -1) AS depth FROM edge e LEFT JOIN walk w ON e.id = w.id"
+
+
+@query
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each change of a record type's fields between a writer's consecutive files."""
+    return schema_drift.schema_changes(table(spark, sf_dir, "log_lines")).select("file", "record_type", "change", "old_path", "new_path")
+
+
+@query
+def p5_edit_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The least-cost edit scripts, with moves and ambiguous renames as the trees' distance has them."""
+    return schema_drift.edit_scripts(table(spark, sf_dir, "log_lines"))
+
+
+@query
+def p5_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All records under consistent field names, one row for each field."""
+    flat = schema_drift.unified_table(table(spark, sf_dir, "log_lines"))
+    return flat.select("writer", "file_no", "file", "line_no", "record_type", F.explode("fields").alias("path", "value"))
