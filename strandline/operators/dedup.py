@@ -74,7 +74,7 @@ def keyed_rows(df: DataFrame, extra: dict[str, str] | None = None, extract: Call
     stamp = df.schema["received_at"].dataType
     schema = T.StructType([T.StructField(n, t or stamp) for n, t in _KEY])
     for name, kind in extra.items():
-        schema.add(name, kind)
+        schema.add(name, T.DataType.fromDDL(kind))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
