@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import conversations, splitting
+from strandline.llm import conversations, mixing, packing, splitting, subjects
 from strandline.runtime import table
 
 QUERIES = {}
@@ -45,3 +45,43 @@ SQL["p4_found"] = f"SELECT id, CAST(CASE WHEN {_longest} > 4096 THEN 1 ELSE 0 EN
 def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All messages as pieces within the limit."""
     return splitting.split_oversized(table(spark, sf_dir, "fts_messages"))
+
+
+def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "model_windows").select(F.col("context_window").alias("capacity"))
+
+
+@query
+def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place in containers of each model's context window."""
+    return packing.pack_texts(table(spark, sf_dir, "documents"), _windows(spark, sf_dir))
+
+
+@query
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers of each size are."""
+    return packing.fill_report(p7_packed(spark, sf_dir))
+
+
+@query
+def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of each mix and how often each is used for which source."""
+    return mixing.mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
+
+
+@query
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual shares of each mix."""
+    return mixing.mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
+
+
+@query
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The subjects of each document."""
+    return subjects.assign_subjects(table(spark, sf_dir, "documents"), table(spark, sf_dir, "subjects"))
+
+
+@query
+def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by source and subject."""
+    return subjects.composition(table(spark, sf_dir, "documents"), p9_found(spark, sf_dir), mixing.source_key)
