@@ -1 +1 @@
-
+"""Readers of compressed session logs."""

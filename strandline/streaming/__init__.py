@@ -1 +1 @@
-
+"""Published snapshots and their incremental upkeep."""
