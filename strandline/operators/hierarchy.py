@@ -82,7 +82,8 @@ def build_hierarchy(df: DataFrame, id_column: str = "id", parent_column: str = "
 
     Of several rows with one id the greatest version counts (null is least; among equals the greatest parent). A parent names
     an id regardless of case and surrounding blanks; of ids that differ in nothing else the smallest is meant. A null, blank or
-    unknown parent makes a root. A node from which no root is reached has root_id '' and depth -1; its parent_id stays.
+    unknown parent makes a root. A node from which no root is reached has root_id '' and depth -1, and no count of
+    descendants; its parent_id stays.
     entry and exit are positions in the Euler tour of the node's tree, from 0: u is an ancestor of v exactly if both have the
     same tree and entry(u) < entry(v) < exit(u). Rows with a null id are ignored, repeated rows count once, other columns are
     ignored, an empty table gives an empty one.
@@ -113,7 +114,7 @@ def build_hierarchy(df: DataFrame, id_column: str = "id", parent_column: str = "
         "parent_id",
         (F.col("total") - F.col("enter_n")).alias("entry"),
         (F.col("total") - F.col("leave_n")).alias("exit"),
-        F.expr("(enter_n - leave_n - 1) div 2").alias("descendants"),
+        F.expr("if(lost, null, (enter_n - leave_n - 1) div 2)").alias("descendants"),
     )
 
 

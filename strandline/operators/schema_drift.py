@@ -228,7 +228,8 @@ def edit_script(old: dict[str, int], new: dict[str, int]) -> tuple[int, list[tup
                     return True
         return False
 
-    matched = {i for i in range(len(gone)) if place(i, set())}
+    for i in range(len(gone)):
+        place(i, set())
     matched = set(partner.values())
     for j, i in partner.items():
         p, q = gone[i][0], come[j][0]
@@ -261,13 +262,13 @@ def reported_changes(old: dict[str, int], new: dict[str, int]) -> list[tuple[str
 
 
 def _pairs(schemas: DataFrame) -> DataFrame:
-    """(writer, file_no, file, record_type, new, old): each file's schema of a type beside the nearest earlier one."""
-    whole = schemas.groupBy("writer", "file_no", "file", "record_type").agg(F.collect_list(F.struct("path", "types")).alias("new"))
+    """(writer, file_no, file, record_type, new, old): each file's schema of a type beside the nearest earlier one, where they differ."""
+    whole = schemas.groupBy("writer", "file_no", "file", "record_type").agg(F.sort_array(F.collect_list(F.struct("path", "types"))).alias("new"))
     at = blocked_neighbours(whole.select("writer", "file_no", "file", "record_type"), ["writer", "record_type"], ["file_no", "file"], F.floor(F.col("file_no") / FILE_BLOCK), "before", F.struct("file_no", "file"), previous=True)
     at = at.where("before is not null").select("writer", "file_no", "file", "record_type", F.col("before.file_no").alias("old_no"), F.col("before.file").alias("old_file"))
     earlier = whole.select("writer", F.col("file_no").alias("old_no"), F.col("file").alias("old_file"), "record_type", F.col("new").alias("old"))
     joined = whole.join(at, ["writer", "file_no", "file", "record_type"]).join(earlier, ["writer", "old_no", "old_file", "record_type"])
-    return joined.select("writer", "file_no", "file", "record_type", "old", "new")
+    return joined.where("old <> new").select("writer", "file_no", "file", "record_type", "old", "new")
 
 
 _CHANGE = "writer string, file_no bigint, file string, record_type string, change string, old_path string, new_path string"
@@ -280,8 +281,7 @@ def _compare(schemas: DataFrame, compare) -> DataFrame:
             keys = list(zip(*(batch.column(i).to_pylist() for i in range(4))))
             for key, old, new in zip(keys, batch.column(4).to_pylist(), batch.column(5).to_pylist()):
                 a, b = ({x["path"]: x["types"] for x in side} for side in (old, new))
-                if a != b:
-                    rows += [(*key, *change) for change in compare(a, b)]
+                rows += [(*key, *change) for change in compare(a, b)]
             columns = list(zip(*rows)) or [[]] * 7
             kinds = [pa.string(), pa.int64(), *[pa.string()] * 5]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["writer", "file_no", "file", "record_type", "change", "old_path", "new_path"])

@@ -58,6 +58,19 @@ FROM (
 SQL["p6_found"] = f"SELECT line_id FROM ({COPIES}) WHERE copy > 1"
 
 
+_KIND = """CASE {field}
+  WHEN 'content' THEN CASE {e}.type WHEN 'VARCHAR' THEN 'text' WHEN 'OBJECT' THEN coalesce(json_extract_string({e}.value, '$.type'), '') ELSE '' END
+  WHEN 'messageSeqs' THEN CASE WHEN {e}.type IN ('BIGINT', 'UBIGINT', 'HUGEINT', 'UHUGEINT', 'DOUBLE') THEN CAST({e}.value AS VARCHAR) ELSE '' END
+  ELSE CASE {e}.type WHEN 'OBJECT' THEN coalesce(json_extract_string({e}.value, '$.role'), '') ELSE '' END END"""
+SQL["p2_found"] = f"""
+WITH t AS (SELECT line_id, j.* FROM ({PARSED}) p, json_tree(p.doc) j WHERE p.doc IS NOT NULL)
+SELECT e.line_id, substr(e.fullkey, 3) AS path, {_KIND.format(field="a.key", e="e")} AS kind
+FROM t e JOIN t a ON a.line_id = e.line_id AND a.id = e.parent
+WHERE a.type = 'ARRAY' AND a.key IN ('content', 'inserted', 'messages', 'messageSeqs') AND e.type <> 'NULL'
+UNION ALL
+SELECT line_id, substr(fullkey, 3), {_KIND.format(field="key", e="t")} FROM t WHERE key IN ('content', 'inserted', 'messages', 'messageSeqs') AND type NOT IN ('ARRAY', 'NULL')"""
+
+
 @query
 def p6_seen_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Disjoint ranges of the numbers each producer has delivered."""
@@ -80,7 +93,8 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def p1_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Path, parent and number of descendants of each session."""
-    return hierarchy.add_paths(hierarchy.build_hierarchy(table(spark, sf_dir, "fts_sessions"))).select("session_id", "root_id", "depth", "parent_id", "path", "descendants")
+    whole = hierarchy.add_paths(hierarchy.build_hierarchy(table(spark, sf_dir, "fts_sessions")))
+    return whole.select("session_id", "root_id", "depth", "parent_id", "path", F.coalesce("descendants", F.lit(-1).cast("long")).alias("descendants"))
 
 
 #: Latest row of each session, its resolved parent, and the walk down from the roots.
@@ -95,6 +109,8 @@ walk AS (
   UNION ALL
   SELECT e.id, w.root_id, w.depth + 1, w.path || '/' || e.id FROM walk w JOIN edge e ON e.parent_id = w.id)"""
 
+SQL["p1_hierarchy"] = WALK + """ SELECT e.id AS session_id, coalesce(w.root_id, '') AS root_id, coalesce(w.depth, -1) AS depth, e.parent_id, w.path,
+  CASE WHEN w.id IS NOT NULL THEN (SELECT CAST(count(*) AS BIGINT) FROM walk x WHERE x.path LIKE w.path || '/%') ELSE -1 END AS descendants FROM edge e LEFT JOIN walk w ON e.id = w.id"""
 SQL["p1_found"] = WALK + " SELECT e.id AS session_id, coalesce(w.root_id, '') AS root_id, coalesce(w.depth, -1) AS depth FROM edge e LEFT JOIN walk w ON e.id = w.id"
 
 
@@ -104,6 +120,28 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schema_drift.schema_changes(table(spark, sf_dir, "log_lines")).select("file", "record_type", "change", "old_path", "new_path")
 
 
+SQL["p5_found"] = r"""
+WITH leaf AS (
+  SELECT DISTINCT writer, file_no, file, json_extract_string(line, '$.type') AS record_type, regexp_replace(substr(j.fullkey, 3), '\[\d+\]', '[]', 'g') AS path,
+    CASE j.type WHEN 'VARCHAR' THEN 's' WHEN 'BOOLEAN' THEN 'b' WHEN 'DOUBLE' THEN 'd' ELSE 'i' END AS t
+  FROM (SELECT * FROM log_lines WHERE json_valid(line) AND json_type(line) = 'OBJECT') l, json_tree(l.line) j
+  WHERE j.type NOT IN ('OBJECT', 'ARRAY', 'NULL') AND json_type(line, '$.type') = 'VARCHAR'),
+schema_ AS (SELECT writer, file_no, file, record_type, path, string_agg(t, '' ORDER BY t) AS types FROM leaf GROUP BY ALL),
+pair AS (SELECT *, lag(file) OVER (PARTITION BY writer, record_type ORDER BY file_no, file) AS old_file FROM (SELECT DISTINCT writer, file_no, file, record_type FROM schema_)),
+side AS (
+  SELECT p.writer, p.file, p.record_type, s.path, s.types AS new_types, NULL AS old_types FROM pair p JOIN schema_ s ON s.writer = p.writer AND s.file = p.file AND s.record_type = p.record_type WHERE old_file IS NOT NULL
+  UNION ALL SELECT p.writer, p.file, p.record_type, s.path, NULL, s.types FROM pair p JOIN schema_ s ON s.writer = p.writer AND s.file = p.old_file AND s.record_type = p.record_type),
+both_ AS (SELECT writer, file, record_type, path, max(new_types) AS new_types, max(old_types) AS old_types, CASE WHEN path LIKE '%.%' THEN regexp_replace(path, '\.[^.]*$', '') ELSE '' END AS parent FROM side GROUP BY ALL),
+grp AS (SELECT writer, file, record_type, parent, count(*) FILTER (new_types IS NULL) AS lost, count(*) FILTER (old_types IS NULL) AS won,
+    max(CASE WHEN new_types IS NULL THEN path END) AS lost_path, max(CASE WHEN old_types IS NULL THEN path END) AS won_path, max(CASE WHEN new_types IS NULL THEN old_types END) AS lost_types, max(CASE WHEN old_types IS NULL THEN new_types END) AS won_types
+  FROM both_ GROUP BY ALL),
+ren AS (SELECT * FROM grp WHERE lost = 1 AND won = 1 AND lost_types = won_types)
+SELECT file, record_type, 'retyped' AS change, path AS old_path, path AS new_path FROM both_ WHERE new_types <> old_types
+UNION ALL SELECT file, record_type, 'renamed', lost_path, won_path FROM ren
+UNION ALL SELECT b.file, b.record_type, CASE WHEN new_types IS NULL THEN 'removed' ELSE 'added' END, CASE WHEN new_types IS NULL THEN path ELSE '' END, CASE WHEN new_types IS NULL THEN '' ELSE path END
+  FROM both_ b WHERE (new_types IS NULL OR old_types IS NULL) AND NOT EXISTS (SELECT 1 FROM ren r WHERE r.writer = b.writer AND r.file = b.file AND r.record_type = b.record_type AND r.parent = b.parent)"""
+
+
 @query
 def p5_edit_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The least-cost edit scripts, with moves and ambiguous renames as the trees' distance has them."""
