@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.operators.ordered import blocked_neighbours
-from strandline.runtime import materialize, release
+from strandline.runtime import counted, materialize, release
 
 #: Rounds in which childless nodes are peeled one level at a time; what is left is resolved by pointer doubling.
 PEEL_ROUNDS = 4
@@ -40,8 +40,8 @@ def cycle_nodes(edges: DataFrame) -> DataFrame:
     size = -1
     while True:
         image = old.select(F.col("to").alias("nid")).distinct()
-        kept = materialize(old.join(image, "nid", "left_semi"), "image")
-        now = kept.count()
+        kept = materialize(old.join(image, "nid", "left_semi"), "image", F.lit(True))
+        now = counted(kept)
         release(old)
         if now in (0, size):
             return kept.select("nid")
@@ -67,11 +67,12 @@ def _arcs(edges: DataFrame, n: int) -> DataFrame:
 
 def _rank(arcs: DataFrame) -> DataFrame:
     """Parallel list ranking: for each arc the number and the weight of arcs from it to its tour's end, and that end."""
-    state = materialize(arcs, "arcs")
-    while state.where("nxt is not null").limit(1).count():
+    going = F.col("nxt").isNotNull()
+    state = materialize(arcs, "arcs", going)
+    while counted(state):
         ahead = state.select(F.col("arc").alias("nxt"), F.col("nxt").alias("nxt2"), F.col("n").alias("n2"), F.col("w").alias("w2"), F.col("last").alias("last2"))
         moved = state.where("nxt is not null").join(ahead, "nxt").select("arc", F.col("nxt2").alias("nxt"), (F.col("n") + F.col("n2")).alias("n"), (F.col("w") + F.col("w2")).alias("w"), F.col("last2").alias("last"))
-        after = materialize(moved.unionByName(state.where("nxt is null")), "ranks")
+        after = materialize(moved.unionByName(state.where("nxt is null")), "ranks", going)
         release(state)
         state = after
     return state
@@ -95,8 +96,8 @@ def build_hierarchy(df: DataFrame, id_column: str = "id", parent_column: str = "
     linked = nodes.where("parent is not null").join(named, "parent").select("nid", "pid")
     links = materialize(nodes.select("nid").join(linked, "nid", "left"), "links")
     cyclic = cycle_nodes(links).withColumn("cyclic", F.lit(True))
-    edges = materialize(links.join(cyclic, "nid", "left").select("nid", F.when(F.col("cyclic").isNull(), F.col("pid")).alias("pid"), F.coalesce("cyclic", F.lit(False)).alias("cyclic"), F.col("pid").alias("above")), "edges")
-    ranks = _rank(_arcs(edges, edges.count()))
+    edges = materialize(links.join(cyclic, "nid", "left").select("nid", F.when(F.col("cyclic").isNull(), F.col("pid")).alias("pid"), F.coalesce("cyclic", F.lit(False)).alias("cyclic"), F.col("pid").alias("above")), "edges", F.lit(True))
+    ranks = _rank(_arcs(edges, counted(edges)))
     enters = F.col("arc") % 2 == 0
     spans = ranks.groupBy(F.shiftright("arc", 1).alias("nid")).agg(
         F.max(F.when(enters, F.col("n"))).alias("enter_n"), F.max(F.when(~enters, F.col("n"))).alias("leave_n"), F.max(F.when(enters, -F.col("w"))).alias("depth"), F.max(F.shiftright("last", 1)).alias("root")
@@ -118,21 +119,32 @@ def build_hierarchy(df: DataFrame, id_column: str = "id", parent_column: str = "
     )
 
 
-def add_paths(hierarchy: DataFrame) -> DataFrame:
-    """hierarchy with path: the ids from the root to the node, joined by '/'; null where no root is reached.
+def _paths(hierarchy: DataFrame) -> DataFrame:
+    """(session_id, path): the ids from the root to each node that has one.
 
     Paths grow by doubling along the parent links, in as many rounds as the greatest depth has binary digits.
     """
-    done = materialize(hierarchy, "hierarchy")
-    deepest = done.agg(F.max("depth")).head()[0] or 0
-    paths = done.where("depth >= 0").select("session_id", F.array("session_id").alias("path"), F.when(F.col("depth") > 0, F.col("parent_id")).alias("top"))
+    deepest = hierarchy.agg(F.max("depth")).head()[0] or 0
+    paths = hierarchy.where("depth >= 0").select("session_id", F.array("session_id").alias("path"), F.when(F.col("depth") > 0, F.col("parent_id")).alias("top"))
     for _ in range(max(0, deepest).bit_length()):
         ahead = paths.select(F.col("session_id").alias("top"), F.col("path").alias("path2"), F.col("top").alias("top2"))
         grown = paths.where("top is not null").join(ahead, "top").select("session_id", F.concat("path2", "path").alias("path"), F.col("top2").alias("top"))
         longer = materialize(grown.unionByName(paths.where("top is null")), "paths")
         release(paths)
         paths = longer
-    return done.join(paths.select("session_id", F.array_join("path", "/").alias("path")), "session_id", "left")
+    return paths.select("session_id", "path")
+
+
+def add_paths(hierarchy: DataFrame) -> DataFrame:
+    """hierarchy with path: the ids from the root to the node, joined by '/'; null where no root is reached."""
+    done = materialize(hierarchy, "hierarchy")
+    return done.join(_paths(done).select("session_id", F.array_join("path", "/").alias("path")), "session_id", "left")
+
+
+def all_descendants(hierarchy: DataFrame) -> DataFrame:
+    """(session_id, descendant_id, distance) of every node with descendants: as many rows as the depths add up to."""
+    paths = _paths(materialize(hierarchy, "hierarchy"))
+    return paths.select(F.col("session_id").alias("descendant_id"), F.size("path").alias("n"), F.posexplode("path").alias("i", "session_id")).where("i < n - 1").select("session_id", "descendant_id", (F.col("n") - 1 - F.col("i")).cast("long").alias("distance"))
 
 
 def descendants_of(hierarchy: DataFrame, wanted: DataFrame, span: int = 4096) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.runtime import materialize, release
+from strandline.runtime import counted, materialize, release
 
 
 def lineage_roots(sessions: DataFrame) -> DataFrame:
@@ -17,17 +17,17 @@ def lineage_roots(sessions: DataFrame) -> DataFrame:
     sessions, so rounds are logarithmic.
     """
     latest = sessions.where("id is not null").groupBy("id").agg(F.max(F.struct("updated_at", F.nullif(F.col("parent_session"), F.lit("")).alias("p"))).getField("p").alias("to"))
-    latest = materialize(latest, "lineage")
+    latest = materialize(latest, "lineage", F.lit(True))
     unknown = latest.where("to is not null").select(F.col("to").alias("id")).distinct().join(latest, "id", "left_anti")
     links = latest.select("id", F.coalesce("to", "id").alias("to"), F.least("id", F.coalesce("to", "id")).alias("least"), F.col("to").isNull().alias("ended"))
     ends = unknown.select("id", F.col("id").alias("to"), F.col("id").alias("least"), F.lit(True).alias("ended"))
-    state = materialize(links.unionByName(ends), "lineage")
-    for _ in range(state.count().bit_length()):
-        if not state.where("not ended").limit(1).count():
+    state = materialize(links.unionByName(ends), "lineage", ~F.col("ended"))
+    for _ in range(counted(latest).bit_length()):
+        if not counted(state):
             break
         ahead = state.select(F.col("id").alias("to"), F.col("to").alias("to2"), F.col("least").alias("least2"), F.col("ended").alias("ended2"))
         moved = state.where("not ended").join(ahead, "to").select("id", F.col("to2").alias("to"), F.least("least", "least2").alias("least"), F.col("ended2").alias("ended"))
-        after = materialize(moved.unionByName(state.where("ended")), "lineage")
+        after = materialize(moved.unionByName(state.where("ended")), "lineage", ~F.col("ended"))
         release(state)
         state = after
     roots = state.select(F.col("id").alias("session_id"), F.when(F.col("ended"), F.col("to")).otherwise(F.col("least")).alias("lineage"))

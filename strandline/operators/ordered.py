@@ -22,3 +22,18 @@ def blocked_neighbours(df: DataFrame, group: list[str], order: list[str], block:
     same = [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(group)]
     joined = rows.join(heads, [*same, F.col("_block").eqNullSafe(F.col("_hb"))], "left")
     return joined.withColumn(out, F.coalesce("_next", "_head_next")).drop("_block", "_value", "_at", "_next", "_hb", "_head_next", *(f"_g{i}" for i in range(len(group))))
+
+
+def blocked_last(df: DataFrame, group: list[str], order: str, size: int, column: str) -> DataFrame:
+    """df with the nulls of a column filled from the row before in its group, in blocks of `size` numbers of the order.
+
+    No task holds more than a block's rows, and one row for each block of a group.
+    """
+    rows = df.withColumn("_block", F.floor(F.col(order) / size))
+    inner = Window.partitionBy(*group, "_block").orderBy(order)
+    rows = rows.withColumn("_own", F.last(column, ignorenulls=True).over(inner))
+    ends = rows.where(F.col(column).isNotNull()).groupBy(*group, "_block").agg(F.max_by(column, order).alias("_end"))
+    blocks = rows.select(*group, "_block").distinct().join(ends, [*group, "_block"], "left")
+    before = Window.partitionBy(*group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_before", F.last("_end", ignorenulls=True).over(before)).drop("_end")
+    return rows.join(blocks, [*group, "_block"]).withColumn(column, F.coalesce("_own", "_before")).drop("_block", "_own", "_before")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.operators.ordered import blocked_neighbours
+from strandline.operators.ordered import blocked_last, blocked_neighbours
 
 STRING, INTEGER, DOUBLE, BOOLEAN = 1, 2, 4, 8
 #: Consecutive file numbers of one writer that are ordered together.
@@ -307,8 +307,8 @@ def projections(changes: DataFrame) -> DataFrame:
     """(file, record_type, names): for each file with renamed fields in force, the map from its paths to the consistent ones.
 
     A field keeps the name under which its writer first had it; one that comes back to a name still taken by a renamed field
-    gets the file's number behind it. The changes of a writer's record type are streamed in file order, so a task holds only the
-    names in force.
+    gets the file's number behind it. The changes of a writer's record type (not its lines or files) are streamed in file order,
+    so a task holds only the names in force.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -353,15 +353,12 @@ def unified_table(df: DataFrame) -> DataFrame:
     fields maps the consistent path to the value's text; the values of a path through arrays come as a JSON array in order.
     Lines that hold no record of a type are left out; repeated lines stay.
     """
-    from pyspark.sql import Window
-
     schemas = file_schemas(df)
     compiled = projections(_compare(schemas, reported_changes))
     files = schemas.select("writer", "record_type", "file_no").distinct()
     # the projection in force at a file: carried forward from the last file that changed
     stamps = files.join(compiled.withColumnRenamed("since", "file_no"), ["writer", "record_type", "file_no"], "left")
-    w = Window.partitionBy("writer", "record_type").orderBy("file_no")
-    in_force = stamps.withColumn("names", F.last("names", ignorenulls=True).over(w)).where("size(names) > 0")
+    in_force = blocked_last(stamps, ["writer", "record_type"], "file_no", FILE_BLOCK, "names").where("size(names) > 0")
     by_file = in_force.groupBy("writer", "file_no").agg(F.map_from_entries(F.collect_list(F.struct("record_type", "names"))).alias("names"))
     lines = _files(df).join(by_file, ["writer", "file_no"], "left").select("writer", "file_no", "file", "line_no", "line", "names")
 

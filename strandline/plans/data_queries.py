@@ -97,6 +97,12 @@ def p1_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole.select("session_id", "root_id", "depth", "parent_id", "path", F.coalesce("descendants", F.lit(-1).cast("long")).alias("descendants"))
 
 
+@query
+def p1_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All descendants of each session."""
+    return hierarchy.all_descendants(hierarchy.build_hierarchy(table(spark, sf_dir, "fts_sessions")))
+
+
 #: Latest row of each session, its resolved parent, and the walk down from the roots.
 WALK = """
 WITH RECURSIVE latest AS (
@@ -111,6 +117,10 @@ walk AS (
 
 SQL["p1_hierarchy"] = WALK + """ SELECT e.id AS session_id, coalesce(w.root_id, '') AS root_id, coalesce(w.depth, -1) AS depth, e.parent_id, w.path,
   CASE WHEN w.id IS NOT NULL THEN (SELECT CAST(count(*) AS BIGINT) FROM walk x WHERE x.path LIKE w.path || '/%') ELSE -1 END AS descendants FROM edge e LEFT JOIN walk w ON e.id = w.id"""
+SQL["p1_descendants"] = WALK + """, up AS (
+  SELECT w.id AS descendant_id, e.parent_id AS session_id, CAST(1 AS BIGINT) AS distance FROM walk w JOIN edge e ON e.id = w.id WHERE e.parent_id IS NOT NULL
+  UNION ALL SELECT u.descendant_id, e.parent_id, u.distance + 1 FROM up u JOIN edge e ON e.id = u.session_id WHERE e.parent_id IS NOT NULL)
+SELECT session_id, descendant_id, distance FROM up"""
 SQL["p1_found"] = WALK + " SELECT e.id AS session_id, coalesce(w.root_id, '') AS root_id, coalesce(w.depth, -1) AS depth FROM edge e LEFT JOIN walk w ON e.id = w.id"
 
 

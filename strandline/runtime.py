@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -26,16 +27,26 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/strandline/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: cuts lineage and survives lost executors."""
+def materialize(df: DataFrame, label: str, count: Column | None = None) -> DataFrame:
+    """Write df once to the shared folder and read it back: cuts lineage and survives lost executors.
+
+    With count, the rows for which it holds are counted as they are written; counted() tells how many.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    seen = Observation()
+    schema = df.schema
+    (df if count is None else df.observe(seen, F.count_if(count).alias("n"))).write.parquet(path)
+    out = spark.read.schema(schema).parquet(path)
     out._strandline_path = path  # noqa: SLF001  for release()
+    out._strandline_count = None if count is None else seen.get["n"] or 0  # noqa: SLF001
     return out
 
 
+def counted(df: DataFrame) -> int:
+    return df._strandline_count  # noqa: SLF001
+
+
 def release(*frames: DataFrame) -> None:
     """Delete tables made by materialize() that no later step reads."""
     for df in frames:
