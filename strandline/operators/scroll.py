@@ -54,6 +54,17 @@ def bookends(messages: DataFrame, file: str) -> DataFrame:
     return _shown(start.unionByName(end), "side").orderBy(F.col("side").desc(), *_order())
 
 
+def legacy_anchor(messages: DataFrame, sessions: DataFrame, session_id: str, row: int) -> dict:
+    """Anchor and evidence that a row number has now. It alone proves nothing about what an old bookmark meant, so the
+    bookmark's own evidence has to agree."""
+    files = sessions.where(F.col("id") == session_id).select(F.col("file").alias("session_file")).distinct()
+    evidence = F.col("identity_evidence") if "identity_evidence" in messages.columns else F.lit(None).cast("string")
+    found = messages.where(F.col("id") == row).join(files, "session_file", "left_semi").select("anchor_id", evidence.alias("evidence")).limit(2).collect()
+    if len(found) != 1 or not found[0]["anchor_id"]:
+        return {"reason": "unresolved-no-source-identity"}
+    return {"anchorId": found[0]["anchor_id"], "evidence": found[0]["evidence"] or "", "reason": "requires-bookmark-evidence"}
+
+
 def windows_around(messages: DataFrame, pivots: DataFrame, window: int = 5) -> DataFrame:
     """The same for many anchors at once: (pivot_id, offset, id) for pivots (session_file, pivot_id)."""
     w = max(1, min(20, int(window)))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -67,3 +70,19 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+@contextlib.contextmanager
+def deadline(spark: SparkSession, seconds: float) -> Iterator[str]:
+    """Cancel the jobs that this block starts once the time is over; they then fail as cancelled. Yields the jobs' tag."""
+    tag = f"deadline-{uuid.uuid4().hex}"
+    context = spark.sparkContext
+    context.addJobTag(tag)
+    timer = threading.Timer(seconds, lambda: context.cancelJobsWithTag(tag))
+    timer.daemon = True
+    timer.start()
+    try:
+        yield tag
+    finally:
+        timer.cancel()
+        context.removeJobTag(tag)

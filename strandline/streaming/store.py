@@ -150,3 +150,27 @@ def prune(store: SnapshotStore, now_ms: int, days: int) -> int:
             tables["messages"] = messages.join(kept.select(F.col("file").alias("session_file")), "session_file", "left_semi")
         store.publish(tables, state={"last_prune": now_ms, "last_prune_count": gone})
     return gone
+
+
+def compact(store: SnapshotStore, now_ms: int, file_rows: int = 1_000_000, every_ms: int = 86_400_000) -> bool:
+    """Rewrite the tables in files of about file_rows, sorted by their file so that a session's rows lie together; at most once in
+    every_ms."""
+    now = store.current()
+    if not now["tables"] or now_ms - now["state"].get("last_optimize", -every_ms) < every_ms:
+        return False
+    tables = {}
+    for name, rows in now["tables"].items():
+        df = store.read(name)
+        key = "session_file" if "session_file" in df.columns else "file"
+        tables[name] = df.repartitionByRange(max(1, -(-rows // file_rows)), key).sortWithinPartitions(key)
+    store.publish(tables, state={"last_optimize": now_ms})
+    return True
+
+
+def coverage(sessions: DataFrame, failed: DataFrame, most: int = 20) -> dict:
+    """Whether everything is indexed, why not, and the first failures by file."""
+    partial = sessions.where(~F.coalesce("complete", F.lit(True)))
+    reasons = {r["x"] for r in partial.select(F.explode("reasons").alias("x")).distinct().collect()}
+    reasons |= {r["error_code"] for r in failed.select("error_code").distinct().collect()}
+    shown = failed.orderBy("file").limit(most + 1).collect()
+    return {"complete": not reasons and not shown and not partial.limit(1).count(), "reasons": sorted(r for r in reasons if r), "diagnostics": [r.asDict() for r in shown[:most]], "diagnosticsTruncated": len(shown) > most}

@@ -4,10 +4,11 @@ import os
 import pytest
 import zstandard
 
+from strandline.api import Engine
 from strandline.operators import fold
 from strandline.sources import logs
 from strandline.streaming import ingest
-from strandline.streaming.store import SnapshotStore, prune
+from strandline.streaming.store import SnapshotStore, compact, coverage, prune
 
 
 def user(seq, text, op="append", **more):
@@ -168,6 +169,15 @@ def test_build_reconciles(spark, tmp_path):
     r = ingest.build(spark, root, store)
     assert (r["updated"], r["removed"], r["added"]) == (1, 1, 1)  # the failed one is tried again
     assert sorted(x.text for x in store.read("messages").collect()) == ["first text", "second text", "third text"]
+    e = Engine.of_store(store)
+    assert e.search("third", mode="full")["hits"][0]["sessionId"] == "one" and e.list()["sessions"][0]["workspace"] == "/w" and e.summary("one")["lastAssistantText"] == "second text"
+    hit = e.search("first text", mode="full")["hits"][0]
+    near = e.scroll("one", store.read("messages").where("text = 'first text'").head().anchor_id)
+    assert hit["kind"] in ("content", "meta") and [m["text"] for m in near["messages"]] == ["first text", "second text", "third text"]
+    assert compact(store, 10**13) and not compact(store, 10**13 + 5) and store.read("messages").count() == 3
+    failed = spark.createDataFrame([("f", "bad", "sequence_mismatch")], "file string, error string, error_code string")
+    report = coverage(store.read("sessions"), failed)
+    assert not report["complete"] and report["reasons"] == ["sequence_mismatch"] and coverage(store.read("sessions"), failed.limit(0))["complete"]
     again = ingest.build(spark, root, store)
     assert again["skipped"] == 1 and store.read("messages").count() == 3
     last = store.read("sessions").head().last_time
@@ -196,3 +206,27 @@ def test_stream_of_appends_equals_a_rebuild(spark, tmp_path):
     ingest.build(spark, root, rebuilt)
     assert streamed == [r.text for r in rebuilt.read("messages").collect()] == ["both"]
     assert store.publish({}, batch=0) == store.current()  # a batch that is in changes nothing
+
+
+def test_stale_and_orphaned_files(spark):
+    from strandline.streaming import store as st
+
+    sessions = spark.createDataFrame([("a", 1, 1.0, 1.0, False), ("b", 1, 1.0, 1.0, False), ("c", 1, 1.0, 1.0, True), ("d", 1, 1.0, None, False), ("e", 1, 1.0, 1.0, None)], "file string, size bigint, mtime_ms double, ctime_ms double, fts_dirty boolean")
+    checks = spark.createDataFrame([("a", 1, 1.0, 1.0, "1", 2), ("b", 1, 2.0, 1.0, "1", 0), ("c", 1, 1.0, 1.0, "1", 0), ("d", 1, 1.0, None, "1", 0), ("x", 1, 1.0, 1.0, "1", 0)], "file string, size bigint, mtime_ms double, ctime_ms double, parser_version string, message_count bigint")
+    messages = spark.createDataFrame([("a",), ("a",), ("y",)], "session_file string")
+    assert sorted(r.file for r in st.stale(sessions, checks, messages, "1").collect()) == ["b", "c", "e"]
+    assert sorted(r.file for r in st.orphans(checks, sessions, sessions).collect()) == ["x"]
+    scan = sessions.select("file", "size", "mtime_ms", "ctime_ms").where("file <> 'a'")
+    assert {r.file: r.state for r in st.changes(scan, sessions).collect()} == {"a": "removed", "b": "skipped", "c": "updated", "d": "updated", "e": "skipped"}
+    assert st.removed_files(st.changes(scan, sessions), False).count() == 0
+
+
+def test_deadline_cancels_its_jobs(spark):
+    import time
+
+    from strandline.runtime import deadline
+
+    began = time.time()
+    with pytest.raises(Exception), deadline(spark, 1.5):  # noqa: B017, PT011
+        spark.range(0, 4, 1, 4).mapInPandas(lambda it: (time.sleep(40) or p for p in it), "id bigint").count()
+    assert time.time() - began < 30 and spark.range(3).count() == 3

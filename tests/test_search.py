@@ -111,6 +111,7 @@ def test_scroll(spark):
     assert e.scroll("s", message_id=2, window=99)["returned"] == 6
     assert [e.scroll(*a)["reason"] for a in [("none", "pivot"), ("twice", "pivot"), ("s", "other")]] == ["session-missing", "ambiguous-session", "anchor-expired"]
     assert e.scroll("s", message_id=4)["reason"] == "anchor-expired"  # a number names no anchored message
+    assert scroll.legacy_anchor(m, s, "s", 4)["anchorId"] == "pivot" and scroll.legacy_anchor(m, s, "s", 2) == {"reason": "unresolved-no-source-identity"}
     pivots = spark.createDataFrame([("f", 4)], "session_file string, pivot_id bigint")
     assert sorted((r.offset, r.id) for r in scroll.windows_around(m, pivots, 2).collect()) == [(-2, 3), (-1, 2), (0, 4), (1, 5), (2, 6)]
 
