@@ -23,6 +23,8 @@ SEQ_BLOCK = 1024
 FAN_IN = 1024
 #: Seconds since 1970 of the mark that closes a replay (in 2200), and the latest event time; both fit nanoseconds.
 END_OF_TIME, LATEST = 7_258_118_400, 6_942_585_600
+#: Session of the closing mark; no log has it.
+MARK = "\0end"
 #: Shards of keyed state for each shuffle partition.
 SHARDS_PER_PARTITION = 4
 
@@ -242,14 +244,14 @@ def session_verdicts(log: DataFrame, lateness: str = "1 hour", timeout_ms: int =
     stream = spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").parquet(f"{base}/rows")
     shards = SHARDS_PER_PARTITION * shuffle_partitions(spark)
     found = replay(conversation_fragments(stream, lateness, timeout_ms, shards), base)
-    folded = fold_fragments(found.where("session_id <> ''"))
+    folded = fold_fragments(found.where(F.col("session_id") != MARK))
     delete(spark, f"{base}/state")
     return folded.select("session_id", reason_of().alias("reason"), "numbers", "largest")
 
 
 def _close(spark: SparkSession, path: str, like: DataFrame) -> None:
     """A row of no session far in the future: the watermark passes every timer after it."""
-    end = spark.range(1).select(F.lit("").alias("session_id"), F.lit(None).cast("long").alias("seq"), F.lit(0).alias("flags"), F.timestamp_seconds(F.lit(END_OF_TIME)).alias("event_time"))
+    end = spark.range(1).select(F.lit(MARK).alias("session_id"), F.lit(None).cast("long").alias("seq"), F.lit(0).alias("flags"), F.timestamp_seconds(F.lit(END_OF_TIME)).alias("event_time"))
     end.select(*(F.col(f.name).cast(f.dataType) for f in like.schema)).coalesce(1).write.parquet(path)
 
 

@@ -46,6 +46,7 @@ CASES = {
     "blank reply": [(0, human("q")), (1, reply("  "))],
     "plugin": [(0, human("note", kind="plugin")), (1, reply("r"))],
     "copy": [(0, human("q", "f")), (1, reply("r", "g")), (1, reply("r", " G "))],
+    "": [(0, human("q")), (1, reply("r"))],
     "blank human": [(0, human("", "h")), (1, human("q")), (2, reply("r"))],
 }
 EXPECTED = {"empty": "empty", "header only": "empty", "only bad": "empty", "gap": "broken", "lost": "broken", "clash": "broken", "open end": "unanswered", "twice": "unanswered", "blank reply": "unanswered", "blank human": "unanswered"}
@@ -57,7 +58,7 @@ def test_reasons(spark):
     got = {r.session_id: r.reason for r in cv.session_verdicts(df).collect()}
     assert got.keys() == CASES.keys() and {k: v for k, v in got.items() if v} == EXPECTED
     turns = sorted((r.session_id, r.seq, r.role, r.text) for r in cv.conversations(df).collect())
-    assert [t for t in turns if t[0] == "copy"] == [("copy", 0, "user", "q"), ("copy", 1, "assistant", "r")] and {t[0] for t in turns} == {"good", "plugin", "copy", "covered"}
+    assert [t for t in turns if t[0] == "copy"] == [("copy", 0, "user", "q"), ("copy", 1, "assistant", "r")] and {t[0] for t in turns} == {"good", "plugin", "copy", "covered", ""}
     assert cv.session_verdicts(df.limit(0)).count() == 0
 
 
@@ -93,11 +94,10 @@ def test_any_split_of_the_stream_gives_the_same(spark, parts):
         found = cv.replay(cv.conversation_fragments(stream, "30 days", 600_000, 4), base)
     cv._close(spark, f"{base}/rows/end", stream)
     found = cv.replay(cv.conversation_fragments(stream, "30 days", 600_000, 4), base)
-    got = {r.session_id: (r.numbers, r.largest, r.stuck, r.last_sign) for r in cv.fold_fragments(found.where("session_id <> ''")).collect()}
+    got = {r.session_id: (r.numbers, r.largest, r.stuck, r.last_sign) for r in cv.fold_fragments(found.where(F.col("session_id") != cv.MARK)).collect()}
     assert got == {s: (8, 7, False, 2) for s in "abc"}
 
 
 def test_text_of():
     assert cv.text_of("a") == "a" and cv.text_of({"type": "text", "text": "b"}) == "b" and cv.text_of(None) == "" and cv.text_of(3) == ""
     assert cv.text_of(["x", None, {"type": "text"}, {"type": "text", "text": "y"}, {"type": "z", "text": "n"}]) == "x y"
-    assert F is not None
