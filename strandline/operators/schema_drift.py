@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.operators.ordered import blocked_last, blocked_neighbours
+from strandline.runtime import materialize
 
 STRING, INTEGER, DOUBLE, BOOLEAN = 1, 2, 4, 8
 #: Consecutive file numbers of one writer that are ordered together.
@@ -264,6 +265,7 @@ def reported_changes(old: dict[str, int], new: dict[str, int]) -> list[tuple[str
 def _pairs(schemas: DataFrame) -> DataFrame:
     """(writer, file_no, file, record_type, new, old): each file's schema of a type beside the nearest earlier one, where they differ."""
     whole = schemas.groupBy("writer", "file_no", "file", "record_type").agg(F.sort_array(F.collect_list(F.struct("path", "types"))).alias("new"))
+    whole = materialize(whole, "schemas")  # read three times below; the lines once
     at = blocked_neighbours(whole.select("writer", "file_no", "file", "record_type"), ["writer", "record_type"], ["file_no", "file"], F.floor(F.col("file_no") / FILE_BLOCK), "before", F.struct("file_no", "file"), previous=True)
     at = at.where("before is not null").select("writer", "file_no", "file", "record_type", F.col("before.file_no").alias("old_no"), F.col("before.file").alias("old_file"))
     earlier = whole.select("writer", F.col("file_no").alias("old_no"), F.col("file").alias("old_file"), "record_type", F.col("new").alias("old"))
