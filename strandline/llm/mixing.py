@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import math
 from collections import defaultdict
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from strandline.llm.tokens import TOKENIZER, token_counts
 from strandline.runtime import materialize
 
-#: Membership patterns that enter the flow; beyond it a text counts for the two scarcest of its sources only, then for the scarcest.
+#: Membership patterns whose segments are broadcast; those of the others are joined by shuffle, with the same result.
 MAX_PATTERNS = 4096
 #: Rows of targets that one call may be given.
 MAX_TARGETS = 10_000
@@ -26,7 +27,11 @@ def source_key(source: Column) -> Column:
 
 
 class Flow:
-    """Least-cost flow by successive shortest paths with potentials; integer capacities and costs."""
+    """Least-cost flow; integer capacities and costs.
+
+    Costs rise from one shortest distance to the next (primal-dual with potentials); at each distance as much as fits is pushed
+    in blocking flows, so the work grows with the edges and the number of distances, not with the number of paths.
+    """
 
     def __init__(self):
         self.edges: list[list[int]] = []  # to, room, cost; each edge is followed by its reverse
@@ -54,35 +59,72 @@ class Flow:
     def run(self, source: object, sink: object) -> int:
         s, t = self.node(source), self.node(sink)
         n = len(self.names)
+        edges, out = self.edges, [self.out.get(x, []) for x in range(n)]
         potential = [0] * n
         total = 0
         while True:
             far = [math.inf] * n
-            via = [-1] * n
             far[s] = 0
             heap = [(0, s)]
             while heap:
                 d, x = heapq.heappop(heap)
                 if d > far[x]:
                     continue
-                for e in self.out[x]:
-                    y, room, cost = self.edges[e]
+                for e in out[x]:
+                    y, room, cost = edges[e]
                     if room > 0 and (step := d + cost + potential[x] - potential[y]) < far[y]:
-                        far[y], via[y] = step, e
+                        far[y] = step
                         heapq.heappush(heap, (step, y))
             if far[t] == math.inf:
                 return total
             potential = [p + d if d < math.inf else p for p, d in zip(potential, far)]
-            push, y = math.inf, t
-            while y != s:
-                push = min(push, self.edges[via[y]][1])
-                y = self.edges[via[y] ^ 1][0]
-            y = t
-            while y != s:
-                self.edges[via[y]][1] -= push
-                self.edges[via[y] ^ 1][1] += push
-                y = self.edges[via[y] ^ 1][0]
-            total += push
+            while pushed := self._block(s, t, out, potential):
+                total += pushed
+
+    def _block(self, s: int, t: int, out: list[list[int]], potential: list[int]) -> int:
+        """What a blocking flow over the shortest of the edges of reduced cost 0 pushes; 0 where the sink isn't reached."""
+        edges = self.edges
+        level = [-1] * len(out)
+        level[s] = 0
+        row = [s]
+        while row and level[t] < 0:
+            following = []
+            for x in row:
+                for e in out[x]:
+                    y, room, cost = edges[e]
+                    if room > 0 and level[y] < 0 and cost + potential[x] == potential[y]:
+                        level[y] = level[x] + 1
+                        following.append(y)
+            row = following
+        if level[t] < 0:
+            return 0
+        tried = [0] * len(out)
+        path: list[int] = []
+        x, total = s, 0
+        while True:
+            if x == t:
+                push = min(edges[e][1] for e in path)
+                for e in path:
+                    edges[e][1] -= push
+                    edges[e ^ 1][1] += push
+                total += push
+                full = next(i for i, e in enumerate(path) if edges[e][1] == 0)
+                x = edges[path[full] ^ 1][0]
+                del path[full:]
+                continue
+            for i in range(tried[x], len(out[x])):
+                y, room, cost = edges[out[x][i]]
+                if room > 0 and level[y] == level[x] + 1 and cost + potential[x] == potential[y]:
+                    tried[x] = i
+                    path.append(out[x][i])
+                    x = y
+                    break
+            else:
+                tried[x] = len(out[x])
+                if x == s:
+                    return total
+                x = edges[path.pop() ^ 1][0]
+                tried[x] += 1
 
 
 def route(patterns: dict[tuple[str, ...], int], targets: dict[str, tuple[float, int]], total: int | None = None) -> tuple[int, dict[tuple, int]]:
@@ -94,7 +136,7 @@ def route(patterns: dict[tuple[str, ...], int], targets: dict[str, tuple[float,
     targets = {s: (share, repeats) for s, (share, repeats) in targets.items() if share and share > 0 and repeats and repeats > 0}
     patterns = {p: n for p, n in patterns.items() if n > 0}
 
-    def build(size: int):
+    def build(size: int, costed: bool = True):
         net = Flow()
         quotas = {s: int(share * size) for s, (share, _) in targets.items()}
         links = {}
@@ -103,8 +145,10 @@ def route(patterns: dict[tuple[str, ...], int], targets: dict[str, tuple[float,
             if not able:
                 continue
             most = max(targets[s][1] for s in able)
-            for k in range(most):
+            for k in range(most) if costed else ():
                 net.add("from", ("pattern", p), tokens, k)
+            if not costed:  # only whether it fits matters
+                net.add("from", ("pattern", p), tokens * most)
             for s in able:
                 links[p, s] = net.add(("pattern", p), ("source", s), tokens * targets[s][1], 0)
         for s, quota in quotas.items():
@@ -117,11 +161,7 @@ def route(patterns: dict[tuple[str, ...], int], targets: dict[str, tuple[float,
         high = int(high / share_sum) + 1 if share_sum else 0
         while low < high:
             mid = (low + high + 1) // 2
-            net, _, wanted = build(mid)
-            for e in net.edges[::2]:
-                e[2] = 0  # only whether it fits matters here
-            for e in net.edges[1::2]:
-                e[2] = 0
+            net, _, wanted = build(mid, costed=False)
             if net.run("from", "to") == wanted:
                 low = mid
             else:
@@ -145,9 +185,10 @@ def mix_sources(df: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, s
     source at most max_repeats times. Without `total` a mix is as large as its shares allow. Targets whose mix or source is
     null, or whose share or repeats aren't above 0, get nothing. Extra columns are ignored.
 
-    Token sums by membership pattern, at most MAX_PATTERNS rows, are all that the driver sees. Documents are then selected in a
-    seeded order: a document stands at its place in the running sum of tokens of its pattern, and that sum is taken over
-    STRETCHES of the order first, exactly only within each.
+    Token sums by membership pattern are all that the driver sees: a row for each set of sources under which texts appear, however
+    many there are. For each mix, patterns that agree in the mix's own sources are one in its flow. Documents are then selected in
+    a seeded order: a document stands at its place in the running sum of tokens of its pattern, and that sum is taken over
+    STRETCHES of the order first, exactly only within each; patterns that are one in a mix follow each other in a seeded order.
     """
     goals = targets.select(F.col("mix").cast("string").alias("mix"), source_key(F.col("source").cast("string")).alias("source"), F.col("target_share").cast("double").alias("share"), F.col("max_repeats").cast("int").alias("repeats"))
     goals = goals.where("mix is not null and source is not null and share > 0 and repeats > 0").groupBy("mix", "source").agg(F.sum("share").alias("share"), F.max("repeats").alias("repeats"))
@@ -164,28 +205,37 @@ def mix_sources(df: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, s
     texts = sized.groupBy("digest").agg(F.min("id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sort_array(F.collect_set("source")).alias("sources"))
     texts = materialize(texts.where(F.size("sources") > 0), "texts")
     sums = texts.groupBy("sources").agg(F.sum("n_tokens").alias("n"))
-    for most in (2, 1):  # a text's scarcest sources, of which there are at most MAX_TARGETS
-        if sums.count() <= MAX_PATTERNS:
-            break
-        amounts = {r["s"]: r["n"] for r in texts.select(F.explode("sources").alias("s"), "n_tokens").groupBy("s").agg(F.sum("n_tokens").alias("n")).collect()}
-        rank = F.create_map(*[F.lit(x) for i, s in enumerate(sorted(amounts, key=lambda s: (amounts[s], s))) for x in (s, i)])
-        scarce = F.transform(F.slice(F.array_sort(F.transform("sources", lambda s: F.struct(rank[s].alias("i"), s.alias("s")))), 1, most), lambda x: x["s"])
-        texts = materialize(texts.withColumn("sources", F.sort_array(scarce)), "patterns")
-        sums = texts.groupBy("sources").agg(F.sum("n_tokens").alias("n"))
     patterns = {tuple(r["sources"]): r["n"] for r in sums.collect()}
-    plan = []  # mix, pattern, source, from, to: stretches of the pattern's tokens, laid end to end over its repetitions
+    shuffled = sorted(patterns, key=lambda p: hashlib.md5(f"{seed} {p}".encode()).digest())
+    plan = []  # mix, pattern, source, size, base, from, to: stretches of the tokens of patterns, laid end to end over their repetitions
     for mix, goal in sorted(wanted.items()):
-        _, routed = route(patterns, goal, total)
-        at: dict[tuple, int] = defaultdict(int)
-        for (pattern, source), tokens in sorted(routed.items()):
-            plan.append((mix, list(pattern), source, patterns[pattern], at[pattern], at[pattern] + tokens))
-            at[pattern] += tokens
+        alike: dict[tuple, list[tuple]] = defaultdict(list)
+        for pattern in shuffled:
+            if own := tuple(s for s in pattern if s in goal):
+                alike[own].append(pattern)
+        sizes = {own: sum(patterns[p] for p in ps) for own, ps in alike.items()}
+        _, routed = route(sizes, goal, total)
+        cuts: dict[tuple, list] = defaultdict(list)
+        for (own, source), tokens in sorted(routed.items()):
+            lo = cuts[own][-1][2] if cuts[own] else 0
+            cuts[own].append((source, lo, lo + tokens))
+        for own, parts in cuts.items():
+            size, base = sizes[own], 0
+            for pattern in alike[own]:
+                n = patterns[pattern]
+                for source, lo, hi in parts:
+                    if max(0, (lo - base - n) // size + 1) * size + base < hi:  # the first repetition of the pattern that ends beyond lo
+                        plan.append((mix, list(pattern), source, size, base, lo, hi))
+                base += n
     spark = df.sparkSession
-    segments = spark.createDataFrame(plan, "mix string, sources array<string>, source string, size bigint, lo bigint, hi bigint")
+    kind = "mix string, sources array<string>, source string, size bigint, base bigint, lo bigint, hi bigint"
+    large = set(sorted(patterns, key=lambda p: (-patterns[p], p))[:MAX_PATTERNS])
     placed = _running(texts, seed)
+    joined = placed.join(F.broadcast(spark.createDataFrame([r for r in plan if tuple(r[1]) in large], kind)), "sources")
+    if len(patterns) > MAX_PATTERNS:  # none of the others holds more than a small part of the texts
+        joined = joined.unionByName(placed.join(spark.createDataFrame([r for r in plan if tuple(r[1]) not in large], kind).hint("merge"), "sources"))
     # the k-th repetition of a document has its middle at k * size + its place + half its tokens; a segment that holds it uses it
-    joined = placed.join(F.broadcast(segments), "sources")
-    before = lambda edge: F.greatest(F.lit(0), F.ceil((F.col(edge) - F.col("place") - F.col("n_tokens") / 2) / F.col("size")))
+    before = lambda edge: F.greatest(F.lit(0), F.ceil((F.col(edge) - F.col("base") - F.col("place") - F.col("n_tokens") / 2) / F.col("size")))
     used = joined.withColumn("copies", (before("hi") - before("lo")).cast("long")).where("copies > 0")
     selection = used.select("mix", "doc_id", "source", "copies", "n_tokens")
     chosen = materialize(selection, "mixture")

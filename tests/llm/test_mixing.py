@@ -70,3 +70,33 @@ def test_many_patterns_fall_back_to_the_scarcest_sources(spark):
             assert all(abs(r.tokens - sum(x.tokens for x in rows) / 6) <= 25 * 6 for r in rows) and all(r.most_copies <= 2 for r in rows)
     finally:
         mx.MAX_PATTERNS = old
+
+
+def test_many_patterns_keep_every_membership(spark):
+    """p8_mixture: with more than MAX_PATTERNS patterns, a text still counts for each of its sources in each mix."""
+    rows, n = [], 0
+    for i in range(60):
+        for s in ["common", *("abcdefghij"[k] for k in {i % 10, (i // 3 + 1) % 10, (i // 7 + 4) % 10})]:
+            rows.append((n, f"text {i} " + "w " * (i % 17), s))
+            n += 1
+    df = spark.createDataFrame([(*r, "c", 1) for r in rows], DOCS)
+    goals = spark.createDataFrame([("one", "common", 1.0, 1, ""), *(("all", s, 0.1, 2, "") for s in "abcdefghij")], GOALS)
+    old, got = mx.MAX_PATTERNS, []
+    try:
+        for mx.MAX_PATTERNS in (4096, 5):
+            chosen, report = mx.mix_sources(df, goals)
+            got.append((sorted(map(tuple, chosen.collect())), sorted(map(tuple, report.collect()))))
+    finally:
+        mx.MAX_PATTERNS = old
+    assert got[0] == got[1]
+    assert next(r for r in got[1][1] if r[0] == "one")[5] == 60  # documents: every text is one of "common"
+
+
+def test_route_of_many_patterns_fits():
+    random.seed(3)
+    goal = {f"s{i}": (1 / 24, 3) for i in range(24)}
+    patterns = {tuple(sorted(random.sample(sorted(goal), random.randint(1, 4)))): random.randint(1, 99) for _ in range(6000)}
+    total, flow = mx.route(patterns, goal)
+    per = {s: sum(n for (_, t), n in flow.items() if t == s) for s in goal}
+    assert max(per.values()) - min(per.values()) <= 1 and sum(per.values()) >= 0.99 * 3 * sum(patterns.values())
+    assert all(n <= 3 * patterns[p] for (p, _), n in flow.items())
