@@ -130,7 +130,8 @@ class Flow:
 def route(patterns: dict[tuple[str, ...], int], targets: dict[str, tuple[float, int]], total: int | None = None) -> tuple[int, dict[tuple, int]]:
     """(tokens of the mix, {(pattern, source): tokens}) for sources with (share, most repeats) and tokens by membership pattern.
 
-    total is the size of the mix; without it, the largest at which every source reaches its share. The k-th use of a text costs
+    total is the size of the mix; without it, the largest at which every source that has tokens reaches its share: a source
+    without any gets nothing and doesn't hold back the others, which keep their proportions. The k-th use of a text costs
     k - 1 a token, so texts are repeated only where a source's share needs it, and evenly over the patterns it may draw on.
     """
     targets = {s: (share, repeats) for s, (share, repeats) in targets.items() if share and share > 0 and repeats and repeats > 0}
@@ -156,6 +157,8 @@ def route(patterns: dict[tuple[str, ...], int], targets: dict[str, tuple[float,
         return net, links, sum(quotas.values())
 
     if total is None:
+        present = {s for p in patterns for s in p}
+        targets = {s: goal for s, goal in targets.items() if s in present}
         low, high = 0, sum(n * max((targets[s][1] for s in p if s in targets), default=0) for p, n in patterns.items())
         share_sum = sum(share for share, _ in targets.values())
         high = int(high / share_sum) + 1 if share_sum else 0
@@ -182,7 +185,8 @@ def mix_sources(df: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, s
 
     Sources are compared by source_key. Equal texts are one text, which belongs to every source it appears under; its copy with
     the smallest doc_id stands for it. Texts without a source in the mix, null or empty ones aren't used. A text is used for a
-    source at most max_repeats times. Without `total` a mix is as large as its shares allow. Targets whose mix or source is
+    source at most max_repeats times. Without `total` a mix is as large as the shares of the sources
+    that have texts allow; a source without any is reported with a share of 0. Targets whose mix or source is
     null, or whose share or repeats aren't above 0, get nothing. Extra columns are ignored.
 
     Token sums by membership pattern are all that the driver sees: a row for each set of sources under which texts appear, however

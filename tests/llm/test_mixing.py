@@ -100,3 +100,13 @@ def test_route_of_many_patterns_fits():
     per = {s: sum(n for (_, t), n in flow.items() if t == s) for s in goal}
     assert max(per.values()) - min(per.values()) <= 1 and sum(per.values()) >= 0.99 * 3 * sum(patterns.values())
     assert all(n <= 3 * patterns[p] for (p, _), n in flow.items())
+
+
+def test_an_absent_source_leaves_the_others(spark):
+    """p8_shares: a source without texts has share 0, the others keep their proportions."""
+    total, flow = mx.route({("x",): 100, ("y",): 300}, {"x": (0.2, 1), "y": (0.3, 1), "gone": (0.5, 4)})
+    assert 500 <= total < 505 and flow == {(("x",), "x"): 100, (("y",), "y"): int(0.3 * total)}
+    df = spark.createDataFrame([(i, f"text {i}", "xy"[i % 2], "c", 1) for i in range(40)], DOCS)
+    goals = spark.createDataFrame([("m", "x", 0.25, 1, ""), ("m", "y", 0.25, 1, ""), ("m", "gone", 0.5, 4, "")], GOALS)
+    got = {r.source: r for r in mx.mix_sources(df, goals)[1].collect()}
+    assert got["x"].documents == got["y"].documents == 20 and got["gone"].actual_share == 0 and got["gone"].target_share == 0.5
