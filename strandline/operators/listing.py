@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions import ranking
@@ -59,22 +59,19 @@ def after_cursor(sessions: DataFrame, cursor: str | None) -> DataFrame:
 
 
 def by_relevance(sessions: DataFrame, query: str, now_ms: int, workspace: str = "", limit: int = 50, evidence: bool = False) -> DataFrame:
-    """The best `limit` of at most CANDIDATES sessions with their score's parts.
+    """The best `limit` of all sessions with their score's parts.
 
-    Order: score, then the shorter matched field, the earlier start, the earlier end, the place before scoring. sessions may carry
+    Order: score, then the shorter matched field, the earlier start, the earlier end, the newer session. sessions may carry
     hit_rows and rank (with evidence), else a session counts by its number of events.
     """
-    numbered = sessions.orderBy(*newest_first()).limit(CANDIDATES)
-    place = Window.orderBy(*newest_first())  # over at most CANDIDATES rows
-    numbered = numbered.withColumn("place", F.row_number().over(place))
     q = F.lit(query.lower())
     # case is folded before the match, so its capital bonus never applies here
-    numbered = numbered.withColumn("by_title", ranking.fuzzy_column(q, F.lower(F.coalesce("title", F.lit("")))))
-    numbered = numbered.withColumn("by_text", ranking.fuzzy_column(q, F.lower(F.coalesce("first_user_text", F.lit("")))))
+    fuzzy = sessions.withColumn("by_title", ranking.fuzzy_column(q, F.lower(F.coalesce("title", F.lit("")))))
+    fuzzy = fuzzy.withColumn("by_text", ranking.fuzzy_column(q, F.lower(F.coalesce("first_user_text", F.lit("")))))
     events = F.least(F.coalesce(F.aggregate(F.map_values("counts"), F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0)), F.lit(ranking.EVENTS_CAP)) if "counts" in sessions.columns else F.lit(0)
     columns = ranking.score_columns(query, now_ms, workspace, F.col("hit_rows") if evidence else events, F.col("rank") if evidence else None)
-    scored = numbered.withColumns(columns)
-    return scored.orderBy(F.col("score").desc(), "field_length", "match_start", "match_end", "place").drop("by_title", "by_text").limit(limit)
+    scored = fuzzy.withColumns(columns)
+    return scored.orderBy(F.col("score").desc(), "field_length", "match_start", "match_end", *newest_first()).drop("by_title", "by_text").limit(limit)
 
 
 def find_session(sessions: DataFrame, wanted: str) -> DataFrame:

@@ -167,3 +167,11 @@ def test_engine_search_groups_by_lineage(spark, corpus):
     with pytest.raises(LookupError):
         e.summary("nowhere")
     assert e.status()["messages"] == 45
+
+
+def test_relevance_scores_every_session(spark):
+    """list_relevance: the best title counts however many newer sessions match too."""
+    s = spark.createDataFrame([("oldest", "oldest", "", "the", "", 0, 1, 1, None)], SESSIONS)
+    newer = spark.range(2100).select(*(F.lit(v).alias(c) if c not in ("file", "id") else F.concat(F.lit("s"), F.col("id")).alias(c) for c, v in zip(s.columns, ("", "", "", "something other", "", 0, 2, 1, None))))
+    best = listing.by_relevance(s.unionByName(newer), "the", 1000, "", 5).collect()
+    assert best[0].id == "oldest" and len(best) == 5
