@@ -61,22 +61,24 @@ class Engine:
         return {"total": total, "returned": len(shown), "truncated": cut, "sessions": shown} | ({"nextCursor": after} if after else {}) | ({"sort": "relevance"} if sort == "relevance" else {})
 
     def search(self, query: str, workspace: str = "", mode: str = "meta", limit: int | None = None, filter: dict | None = None) -> dict:  # noqa: A002
-        """Hits by lineage, best first. meta looks at sessions only, full at message texts too (AND, then OR if that finds none)."""
+        """Hits by lineage, best first. meta looks at sessions only, full at message texts too (AND, then OR if that finds none).
+
+        All sessions in scope and all content hits count, so total is exact; only `limit` cuts what is returned.
+        """
         query = query.strip()
         if not query:
             raise ValueError("query must not be empty")
         limit = max(1, limit or self.max_hits)
         wanted = Filter.of(**{{"sinceMs": "since_ms", "untilMs": "until_ms"}.get(k, k): v for k, v in (filter or {}).items()})
         scope = listing.indexable(self.sessions).where(wanted.on_sessions(workspace))
-        scope = scope.orderBy(*listing.newest_first()).limit(listing.CANDIDATES)
         parts = []
         if mode == "meta" or wanted.role == "any":
             snippet = tx.excerpt(F.concat_ws("", F.lit("title: "), F.coalesce("title", F.lit("")), F.lit(" | "), F.substring(F.coalesce("first_user_text", F.lit("")), 1, 200)), query)
             named = listing.matching(scope, "", query, Filter(role="tool" if wanted.role == "tool" else "any"))
             parts.append(named.select(F.col("id").alias("session_id"), F.col("file").alias("session_file"), F.lit(None).cast("bigint").alias("message_id"), tx.normalize_markers(snippet).alias("snippet"), F.lit(None).cast("double").alias("rank"), F.lit(None).cast("bigint").alias("match_count"), F.coalesce(-F.col("last_time"), F.lit(0)).alias("arrival")))
         if mode == "full":
-            page, _ = search.search_page(self.messages, scope, query, min(500, max(limit, self.max_hits) * 3), None, wanted)
-            parts.append(page.select("session_id", "session_file", "message_id", "snippet", "rank", "match_count", F.coalesce("event_seq", F.lit(0)).alias("arrival")))
+            found, _ = search.search_page(self.messages, scope, query, None, None, wanted)
+            parts.append(found.select("session_id", "session_file", "message_id", "snippet", "rank", "match_count", F.coalesce("event_seq", F.lit(0)).alias("arrival")))
         hits = parts[0]
         for p in parts[1:]:
             hits = hits.unionByName(p)

@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from strandline.functions import ranking
 from strandline.operators.search import Filter, meta_matches
 
-#: Sessions that a relevance list or a search scores at most, newest first.
-CANDIDATES = 2000
 DAY_MS = 86_400_000
 
 

@@ -136,12 +136,13 @@ def search_messages(messages: DataFrame, sessions: DataFrame, raw: str, limit: i
     return shape(matched.orderBy(*page_order()).limit(max(1, limit)), messages, sessions, query)
 
 
-def search_page(messages: DataFrame, sessions: DataFrame, raw: str, limit: int, mode: str | None = None, filter: Filter = Filter(), workspace: str = "") -> tuple[DataFrame, int]:  # noqa: A002
-    """(hits, total): the first sessions by their representative hit, and how many sessions there are."""
+def search_page(messages: DataFrame, sessions: DataFrame, raw: str, limit: int | None, mode: str | None = None, filter: Filter = Filter(), workspace: str = "") -> tuple[DataFrame, int]:  # noqa: A002
+    """(hits, total): the first sessions by their representative hit (all without a limit), and how many sessions there are."""
     query = parse_query(raw)
     matched = _relaxed(messages, sessions, query, mode, filter, workspace)
     chosen = representatives(matched)
-    return shape(chosen.orderBy(*page_order()).limit(max(1, limit)), messages, sessions, query), chosen.count()
+    page = chosen if limit is None else chosen.orderBy(*page_order()).limit(max(1, limit))
+    return shape(page, messages, sessions, query), chosen.count()
 
 
 def _relaxed(messages: DataFrame, sessions: DataFrame, query: Query, mode: str | None, filter: Filter, workspace: str) -> DataFrame:  # noqa: A002

@@ -175,3 +175,13 @@ def test_relevance_scores_every_session(spark):
     newer = spark.range(2100).select(*(F.lit(v).alias(c) if c not in ("file", "id") else F.concat(F.lit("s"), F.col("id")).alias(c) for c, v in zip(s.columns, ("", "", "", "something other", "", 0, 2, 1, None))))
     best = listing.by_relevance(s.unionByName(newer), "the", 1000, "", 5).collect()
     assert best[0].id == "oldest" and len(best) == 5
+
+
+def test_engine_search_counts_every_hit(spark, corpus):
+    """Engine.search: neither the scope nor the content hits are cut before the exact total."""
+    s = spark.range(2100).select(*(F.concat(F.lit("s"), F.col("id")).alias(c) if c in ("file", "id") else F.lit(0 if kind == "bigint" else "some alpha" if c == "title" else "").cast(kind).alias(c) for c, kind in corpus[1].dtypes))
+    m = spark.range(600).select(*(F.col("id").alias(c) if c == "id" else F.concat(F.lit("s"), F.col("id")).alias(c) if c in ("session_file", "session_id") else F.lit(0 if kind in ("bigint", "int") else "user" if c == "role" else "an alpha text").cast(kind).alias(c) for c, kind in corpus[0].dtypes))
+    e = Engine(spark, s, m, clock=lambda: 1000)
+    meta, full = e.search("alpha", limit=3), e.search("text", mode="full", limit=3)
+    assert (meta["total"], meta["returned"], meta["hasMore"], meta["totalExact"]) == (2100, 3, True, True)
+    assert (full["total"], full["returned"], full["truncated"], full["totalExact"]) == (600, 3, True, True)
