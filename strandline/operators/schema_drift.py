@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import json
-from collections import defaultdict
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -262,6 +262,41 @@ def reported_changes(old: dict[str, int], new: dict[str, int]) -> list[tuple[str
     return out + [("added", "", q) for q in won if q not in {x for _, x in renamed}]
 
 
+def projected_changes(old: dict[str, int], new: dict[str, int]) -> list[tuple[str, str, str]]:
+    """The edit script as (change, old path, new path) of 'renamed', 'removed' and 'added', for projections.
+
+    Besides the reported renames, fields follow the script's moves and renamed objects (by prefix). Both must be unambiguous: of
+    a moved field's name and type exactly one field went and one came; a renamed object is the only one that went, and its
+    counterpart the only one that came, under their parent.
+    """
+    _, script = edit_script(old, new)
+    pairs = {p: q for change, p, q in reported_changes(old, new) if change == "renamed"}
+    lost, won = old.keys() - new.keys(), new.keys() - old.keys()
+
+    def under(paths: Iterable[str], parent: str) -> tuple[set[str], set[str]]:
+        rest = [p[len(parent) + 1 if parent else 0 :] for p in paths if not parent or p.startswith(parent + ".")]
+        return {r.partition(".")[0] for r in rest}, {r.partition(".")[0] for r in rest if "." in r}
+
+    taken = set(pairs.values())
+    for op, p, q in sorted(script, key=lambda x: -len(x[1])):  # the innermost object first
+        if op == "rename" and any(x.startswith(p + ".") for x in old):
+            keys, objects = under(old, parent_of(p))
+            new_keys, new_objects = under(new, parent_of(q))
+            if len(objects - new_keys) == 1 == len(new_objects - keys):
+                for x in sorted(lost - pairs.keys()):
+                    y = q + x[len(p) :]
+                    if x.startswith(p + ".") and y in won and y not in taken and old[x] == new[y]:
+                        pairs[x] = y
+                        taken.add(y)
+    kind = lambda x, types: (x.rpartition(".")[2], types[x])
+    went, came = Counter(kind(x, old) for x in lost - pairs.keys()), Counter(kind(y, new) for y in won - taken)
+    for op, p, q in script:
+        if op == "move" and p not in pairs and q not in taken and went[kind(p, old)] == 1 == came[kind(q, new)]:
+            pairs[p] = q
+            taken.add(q)
+    return [("renamed", p, q) for p, q in sorted(pairs.items())] + [("removed", p, "") for p in sorted(lost - pairs.keys())] + [("added", "", q) for q in sorted(won - taken)]
+
+
 def _pairs(schemas: DataFrame) -> DataFrame:
     """(writer, file_no, file, record_type, new, old): each file's schema of a type beside the nearest earlier one, where they differ."""
     whole = schemas.groupBy("writer", "file_no", "file", "record_type").agg(F.sort_array(F.collect_list(F.struct("path", "types"))).alias("new"))
@@ -349,19 +384,60 @@ def projections(changes: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "writer string, record_type string, since bigint, names map<string,string>")
 
 
+def canonical_names(edges: list[tuple[str, str, int]]) -> dict[str, str]:
+    """{name: its canonical name} from (new name, old name, writers) of one record type.
+
+    A name leads to the older one that most writers had for it, then the smallest, unless as many went the other way; names that
+    lead to each other in a circle take its smallest.
+    """
+    count = {(q, p): n for q, p, n in edges if p != q}
+    older: dict[str, str] = {}
+    for (q, p), _ in sorted(count.items(), key=lambda x: (-x[1], x[0])):
+        if (count[q, p], q) > (count.get((p, q), 0), p):
+            older.setdefault(q, p)
+    out = {}
+    for name in older:
+        chain = [name]
+        while (following := older.get(chain[-1])) is not None and following not in chain:
+            chain.append(following)
+        root = chain[-1] if following is None else min(chain[chain.index(following) :])
+        if root != name:
+            out[name] = root
+    return out
+
+
+def _canonical(edges: DataFrame) -> DataFrame:
+    """(record_type, name, root) of edges (record_type, new, old, writers); a record type's distinct renames are one group."""
+
+    def run(group):
+        found = canonical_names(list(zip(group["new"], group["old"], group["writers"])))
+        return group.iloc[:0].assign(name="", root="")[["record_type", "name", "root"]] if not found else group.iloc[[0] * len(found)].assign(name=list(found), root=list(found.values()))[["record_type", "name", "root"]]
+
+    return edges.groupBy("record_type").applyInPandas(run, "record_type string, name string, root string")
+
+
 def unified_table(df: DataFrame) -> DataFrame:
     """(writer, file_no, file, line_no, record_type, fields): every record with its fields under consistent names.
 
     fields maps the consistent path to the value's text; the values of a path through arrays come as a JSON array in order.
-    Lines that hold no record of a type are left out; repeated lines stay.
+    Lines that hold no record of a type are left out; repeated lines stay. Fields follow the edit scripts' renames, moves and
+    renamed objects where these are unambiguous. A writer that never had a field's older name takes it from the other writers,
+    unless that would give two of its fields one name.
     """
-    schemas = file_schemas(df)
-    compiled = projections(_compare(schemas, reported_changes))
+    schemas = materialize(file_schemas(df), "paths")
+    compiled = projections(_compare(schemas, projected_changes))
     files = schemas.select("writer", "record_type", "file_no").distinct()
     # the projection in force at a file: carried forward from the last file that changed
     stamps = files.join(compiled.withColumnRenamed("since", "file_no"), ["writer", "record_type", "file_no"], "left")
-    in_force = blocked_last(stamps, ["writer", "record_type"], "file_no", FILE_BLOCK, "names").where("size(names) > 0")
-    by_file = in_force.groupBy("writer", "file_no").agg(F.map_from_entries(F.collect_list(F.struct("record_type", "names"))).alias("names"))
+    in_force = blocked_last(stamps, ["writer", "record_type"], "file_no", FILE_BLOCK, "names").where("size(names) > 0").select("writer", "record_type", "file_no", "names")
+    paths = schemas.select("writer", "record_type", "file_no", "path").distinct().join(in_force, ["writer", "record_type", "file_no"], "left")
+    named = materialize(paths.select("writer", "record_type", "file_no", "path", F.coalesce(F.try_element_at("names", "path"), "path").alias("name")), "named")
+    edges = named.where("name <> path and not name rlike '@[0-9]+$'").groupBy("record_type", F.col("path").alias("new"), F.col("name").alias("old")).agg(F.count_distinct("writer").alias("writers"))
+    own = named.select("writer", "record_type", "name").distinct().join(_canonical(edges), ["record_type", "name"], "left").withColumn("root", F.coalesce("root", "name"))
+    canon = own.groupBy("writer", "record_type", "root").agg(F.min("name").alias("name"), F.count("*").alias("n")).where("n = 1 and name <> root").drop("n")
+    final = named.join(canon, ["writer", "record_type", "name"], "left").withColumn("root", F.coalesce("root", "name")).where("root <> path")
+    maps = final.groupBy("writer", "file_no", "record_type").agg(F.map_from_entries(F.collect_list(F.struct("path", "root"))).alias("names"))
+    by_file = maps.groupBy("writer", "file_no").agg(F.map_from_entries(F.collect_list(F.struct("record_type", "names"))).alias("names"))
     lines = _files(df).join(by_file, ["writer", "file_no"], "left").select("writer", "file_no", "file", "line_no", "line", "names")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -80,3 +80,20 @@ def test_changes_renames_and_types(spark):
     assert unified["w/4002", 0]["a@4002"] == "true" and unified["w/4002", 0]["a"] == "2.5"
     assert json.loads(unified["v/1", 0]["q[].r"]) == ["1", "s"]
     assert sd.schema_changes(frame(spark, files).limit(0)).count() == 0 and sd.unified_table(frame(spark, files).limit(0)).count() == 0
+
+
+def test_unified_table_follows_moves_objects_and_other_writers(spark):
+    """p5_unified: moves, renamed objects and names of other writers come under one name."""
+    assert ("renamed", "x.id", "y.id") in sd.projected_changes({"x.id": 1, "x.q": 2, "y.z": 2}, {"x.q": 2, "y.z": 2, "y.id": 1})
+    assert all(c != "renamed" for c, _, _ in sd.projected_changes({"a": 1, "b": 1}, {"c": 1, "d": 1}))  # a guess isn't followed
+    assert sd.canonical_names([("b", "a", 2), ("c", "b", 1), ("a", "b", 1)]) == {"b": "a", "c": "a"}
+    rec = lambda **k: json.dumps({"type": "t", **k})
+    files = [
+        ("w", 1, [rec(x={"id": "1", "q": 2}, y={"z": 3}, o={"k": 1, "m": True})]), ("w", 2, [rec(x={"q": 2}, y={"z": 3, "id": "1"}, n={"k": 1, "m": True})]),
+        ("v", 1, [rec(x={"q": 2}, y={"z": 3, "id": "5"}, n={"k": 4, "m": True})]),
+        ("u", 1, [rec(x={"id": "6"}, y={"id": "7"})]),
+    ]
+    got = {(r.writer, r.file_no): dict(r.fields) for r in sd.unified_table(frame(spark, files)).collect()}
+    assert got["w", 1] == got["w", 2] and got["w", 2]["x.id"] == "1" and got["w", 2]["o.k"] == "1" and got["w", 2]["o.m"] == "true"
+    assert got["v", 1]["x.id"] == "5" and got["v", 1]["o.k"] == "4" and "y.id" not in got["v", 1]
+    assert got["u", 1]["x.id"] == "6" and got["u", 1]["y.id"] == "7"  # both at once: two fields
