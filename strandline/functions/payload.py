@@ -4,70 +4,81 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 
-_WHITE = re.compile(r"[ \t\n\r]*")
-_SCALAR = re.compile(r'"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*"|-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null')
+_TOKEN = re.compile(r'[ \t\n\r]*(?:([{}\[\],:])|("(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+")|(-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?)|(true|false|null)|($))')
+_LITERALS = {"true": True, "false": False, "null": None}
 
 
 def _reject(name: str):
     raise ValueError(f"{name} is not JSON")
 
 
-_decoder = json.JSONDecoder(parse_constant=_reject, parse_int=str, parse_float=str)
-
-
-def loads(text: str):
-    """Strict JSON (no NaN or Infinity); numbers stay the text they were written as."""
-    return _decoder.decode(text)
-
-
-class TooDeep(ValueError):
-    """A valid document nested deeper than the recursive parser goes."""
+def read_nested(text: str, number: Callable[[str], object] = str) -> object:
+    """The value of a JSON text at any depth: a scan with its own stack, for what the recursive parser can't take."""
+    top: list = []
+    stack: list = [top]
+    keys: list[str | None] = [None]
+    at, want = 0, "value"
 
+    def put(value: object) -> None:
+        if isinstance(stack[-1], dict):
+            stack[-1][keys[-1]] = value
+        else:
+            stack[-1].append(value)
 
-def _balanced(text: str) -> bool:
-    """Validity of a document without recursion, for depths beyond the parser's stack."""
-    stack: list[str] = []
-    at = _WHITE.match(text, 0).end()
-    want = "value"
     while True:
-        at = _WHITE.match(text, at).end()
-        if at == len(text):
-            return want == "end" and not stack
-        c = text[at]
-        if want in ("value", "value or ]") and c in "{[":
-            stack.append(c)
-            want = "key or }" if c == "{" else "value or ]"
-            at += 1
-        elif c == "]" and want in ("value or ]", "end") and stack[-1:] == ["["] or c == "}" and want in ("key or }", "end") and stack[-1:] == ["{"]:
+        m = _TOKEN.match(text, at)
+        if not m:
+            raise ValueError(f"no JSON at {at}")
+        at = m.end()
+        sign, string, figure, literal, _ = m.groups()
+        may_be_value = want in ("value", "value or ]")
+        if may_be_value and sign in ("{", "["):
+            box: object = {} if sign == "{" else []
+            put(box)
+            stack.append(box)
+            keys.append(None)
+            want = "key or }" if sign == "{" else "value or ]"
+        elif may_be_value and (string is not None or figure or literal):
+            put(json.loads(string) if string is not None else number(figure) if figure else _LITERALS[literal])
+            want = "end"
+        elif want in ("key", "key or }") and string is not None:
+            keys[-1] = json.loads(string)
+            want = ":"
+        elif want == ":" and sign == ":":
+            want = "value"
+        elif len(stack) > 1 and (sign == "]" and want in ("value or ]", "end") and isinstance(stack[-1], list) or sign == "}" and want in ("key or }", "end") and isinstance(stack[-1], dict)):
             stack.pop()
+            keys.pop()
             want = "end"
-            at += 1
-        elif want in ("value", "value or ]", "key", "key or }"):
-            m = _SCALAR.match(text, at)
-            if not m or want.startswith("key") and c != '"':
-                return False
-            at = m.end()
-            if want.startswith("key"):
-                at = _WHITE.match(text, at).end()
-                if text[at : at + 1] != ":":
-                    return False
-                at += 1
-                want = "value"
-            else:
-                want = "end"
-        elif want == "end" and c == "," and stack:
-            want = "key" if stack[-1] == "{" else "value"
-            at += 1
+        elif len(stack) > 1 and want == "end" and sign == ",":
+            want = "key" if isinstance(stack[-1], dict) else "value"
+        elif want == "end" and len(stack) == 1 and m.lastindex == 5:
+            return top[0]
         else:
-            return False
+            raise ValueError(f"no JSON at {at}")
 
 
-def parse_payload(text: str | None) -> tuple[bool, str | None, object]:
-    """(parses, the JSON text, its value) of a payload; a payload that is a JSON string is parsed once more.
+class Reader:
+    """Strict JSON (no NaN or Infinity) at any depth; numbers are made by `number` from the text they were written as."""
 
-    A document nested too deep for the recursive parser is judged by a scan and has the value None.
-    """
+    def __init__(self, number: Callable[[str], object] = str):
+        self.number = number
+        self.decoder = json.JSONDecoder(parse_constant=_reject, parse_int=number, parse_float=number)
+
+    def __call__(self, text: str) -> object:
+        try:
+            return self.decoder.decode(text)
+        except RecursionError:
+            return read_nested(text, self.number)
+
+
+loads = Reader()
+
+
+def parse_payload(text: str | None) -> tuple[bool, str | None, object]:
+    """(parses, the JSON text, its value) of a payload; a payload that is a JSON string is parsed once more."""
     if text is None:
         return False, None, None
     try:
@@ -76,7 +87,5 @@ def parse_payload(text: str | None) -> tuple[bool, str | None, object]:
             text = value
             value = loads(text)
         return True, text, value
-    except RecursionError:
-        return (True, text, None) if _balanced(text) else (False, None, None)
     except ValueError:
         return False, None, None

@@ -27,7 +27,27 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def p2_linked_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same elements as rows of one linked table, with their parent element and JSON text."""
-    return nested.flatten_elements(table(spark, sf_dir, "session_log"), "line_id", "data")
+    flat = nested.flatten_elements(table(spark, sf_dir, "session_log"), "line_id", "data")
+    lead = F.substring("value", 1, 1)
+    return flat.withColumn("value_type", F.when(lead == "{", "object").when(lead == "[", "array").when(lead == '"', "string").when(lead.isin("t", "f"), "boolean").otherwise("number")).drop("value")
+
+
+@query
+def p2_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of content blocks with their typed members."""
+    return nested.nested_tables(table(spark, sf_dir, "session_log"), "line_id", "data")["content"].drop("value")
+
+
+@query
+def p2_inserted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of inserted messages."""
+    return nested.nested_tables(table(spark, sf_dir, "session_log"), "line_id", "data")["inserted"].drop("value")
+
+
+@query
+def p2_message_seqs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of the messages' numbers that titles name."""
+    return nested.nested_tables(table(spark, sf_dir, "session_log"), "line_id", "data")["messageSeqs"].drop("value")
 
 
 @query
@@ -62,13 +82,31 @@ _KIND = """CASE {field}
   WHEN 'content' THEN CASE {e}.type WHEN 'VARCHAR' THEN 'text' WHEN 'OBJECT' THEN coalesce(json_extract_string({e}.value, '$.type'), '') ELSE '' END
   WHEN 'messageSeqs' THEN CASE WHEN {e}.type IN ('BIGINT', 'UBIGINT', 'HUGEINT', 'UHUGEINT', 'DOUBLE') THEN CAST({e}.value AS VARCHAR) ELSE '' END
   ELSE CASE {e}.type WHEN 'OBJECT' THEN coalesce(json_extract_string({e}.value, '$.role'), '') ELSE '' END END"""
-SQL["p2_found"] = f"""
+#: A field's single value stands at position 0; twice, as neighbouring fields share their dot.
+_SOLE = r"regexp_replace({0}, '(^|\.)(content|inserted|messages|messageSeqs)(\.|$)', '\1\2[0]\3', 'g')"
+_PLACED = _SOLE.format(_SOLE.format("substr({0}.fullkey, 3)"))
+ELEMENTS = f"""
 WITH t AS (SELECT line_id, j.* FROM ({PARSED}) p, json_tree(p.doc) j WHERE p.doc IS NOT NULL)
-SELECT e.line_id, substr(e.fullkey, 3) AS path, {_KIND.format(field="a.key", e="e")} AS kind
+SELECT e.line_id, {_PLACED.format('e')} AS path, {_KIND.format(field="a.key", e="e")} AS kind, a.key AS field, CAST(e.value AS VARCHAR) AS value
 FROM t e JOIN t a ON a.line_id = e.line_id AND a.id = e.parent
 WHERE a.type = 'ARRAY' AND a.key IN ('content', 'inserted', 'messages', 'messageSeqs') AND e.type <> 'NULL'
 UNION ALL
-SELECT line_id, substr(fullkey, 3), {_KIND.format(field="key", e="t")} FROM t WHERE key IN ('content', 'inserted', 'messages', 'messageSeqs') AND type NOT IN ('ARRAY', 'NULL')"""
+SELECT line_id, {_PLACED.format('t')}, {_KIND.format(field="key", e="t")}, key, CAST(value AS VARCHAR) FROM t WHERE key IN ('content', 'inserted', 'messages', 'messageSeqs') AND type NOT IN ('ARRAY', 'NULL')"""
+SQL["p2_found"] = f"SELECT line_id, path, kind FROM ({ELEMENTS})"
+_ABOVE = r"nullif(regexp_extract(regexp_replace(path, '[^.]*$', ''), '^(.*\.)?(content|inserted|messages|messageSeqs)\[\d+\]'), '')"
+LINKED = rf"SELECT line_id AS record_id, path, field, CAST(regexp_extract(path, '\[(\d+)\]$', 1) AS BIGINT) AS position, {_ABOVE} AS parent_path, kind, value FROM ({ELEMENTS})"
+SQL["p2_linked_elements"] = f"""SELECT * EXCLUDE value, CASE json_type(value) WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' ELSE 'number' END AS value_type FROM ({LINKED})"""
+_ROW = r"record_id, path, parent_path, nullif(regexp_extract(parent_path, '([^.\[\]]+)\[\d+\]$', 1), '') AS parent_field, position, kind"
+
+
+def _member(path: str, kind: str = "VARCHAR") -> str:
+    return f"CASE WHEN json_type(value, '{path}') = '{kind}' THEN CAST(json_extract_string(value, '{path}') AS {kind}) END"
+
+
+SQL["p2_blocks"] = f"""SELECT {_ROW}, CASE json_type(value) WHEN 'VARCHAR' THEN json_extract_string(value, '$') ELSE {_member('$.text')} END AS text, {_member('$.toolCallId')} AS call_id, {_member('$.id')} AS id, {_member('$.name')} AS name,
+  {_member('$.arguments')} AS arguments, {_member('$.isError', 'BOOLEAN')} AS is_error, {_member('$.mediaType')} AS media_type, {_member('$.ref')} AS ref, {_member('$.path')} AS file FROM ({LINKED}) WHERE field = 'content'"""
+SQL["p2_inserted"] = f"SELECT {_ROW}, {_member('$.id')} AS id, {_member('$.source.kind')} AS source_kind FROM ({LINKED}) WHERE field = 'inserted'"
+SQL["p2_message_seqs"] = f"SELECT {_ROW}, TRY_CAST(json_extract_string(value, '$') AS BIGINT) AS seq FROM ({LINKED}) WHERE field = 'messageSeqs'"
 
 
 @query

@@ -6,6 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from strandline.functions.payload import parse_payload
+from strandline.operators.structural import StructuralIndex
 from strandline.operators.nested import FIELDS, elements_of, flatten_elements, nested_tables
 
 KEYS = ["content", "inserted", "messages", "messageSeqs", "type", "role", "a", "k\\\"y", "text", "日", ""]
@@ -27,9 +28,11 @@ def brute(value, path=""):
         for k, x in value.items():
             at = f"{path}.{k}" if path else k
             if k in FIELDS:
-                for i, e in enumerate(x) if isinstance(x, list) else [(None, x)]:
+                for i, e in enumerate(x if isinstance(x, list) else [x]):
                     if e is not None:
-                        yield (at if i is None else f"{at}[{i}]"), kind(k, e)
+                        yield f"{at}[{i}]", kind(k, e)
+                if isinstance(x, dict):  # the only element of its field
+                    at += "[0]"
             yield from brute(x, at)
     elif isinstance(value, list):
         for i, x in enumerate(value):
@@ -50,7 +53,7 @@ def test_elements_equal_a_tree_walk(docs, indent, ascii_only):
     which, cols = elements_of([t.encode() for t in texts])
     got = sorted(zip(which.tolist(), cols["path"], cols["kind"]))
     assert got == sorted((i, p, k) for i, d in enumerate(docs) for p, k in brute(d))
-    for i, p, v in zip(which.tolist(), cols["path"], cols["value"]):
+    for v in cols["value"].to_pylist() if got else []:
         assert v and json.loads(v) is not None
 
 
@@ -78,12 +81,44 @@ def test_payload_parses_like_json(v, cut, wrap):
 
 def test_payload_edges():
     deep = "[" * 200_000 + "]" * 200_000
+    value = parse_payload('{"id":"x","deep":' + deep + "}")[2]
+    assert value["id"] == "x" and isinstance(value["deep"], list)
     assert parse_payload(deep)[0] and not parse_payload(deep[:-1])[0] and not parse_payload(deep[:-1] + "}")[0]
     for bad in (None, "", " ", "NaN", '{"a":Infinity}', '{"a":1}x', "[1,]", '{"a"}', '"text"', '"{\\"a\\":"'):
         assert not parse_payload(bad)[0]
     assert parse_payload('"{\\"a\\":1}"')[1] == '{"a":1}'
 
 
+CHARS = '{}[],:"\\ \n\t0123456789.eE+-truefalsnu\x01aé'
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(values, st.lists(st.tuples(st.integers(0, 300), st.integers(0, 2), st.sampled_from(CHARS)), max_size=3)), min_size=1, max_size=5))
+def test_index_tells_valid_documents(docs):
+    texts = []
+    for v, edits in docs:
+        t = json.dumps(v)
+        for at, how, c in edits:
+            at %= len(t) + 1
+            t = t[:at] + (c, "", c)[how] + t[at + (how > 0) :]
+        texts.append(t)
+
+    def ok(t):
+        try:
+            json.loads(t, parse_constant=lambda c: 1 / 0)
+        except (ValueError, ZeroDivisionError):
+            return False
+        return True
+
+    assert StructuralIndex([t.encode() for t in texts]).valid.tolist() == [ok(t) for t in texts]
+
+
+def test_depth_has_no_limit():
+    deep = '{"a":' * 60_000 + '{"content":[{"type":"t"}]}' + "}" * 60_000
+    which, cols = elements_of([b'{"content":"x"}', deep.encode(), deep[:-1].encode()])
+    assert which.tolist() == [0, 1] and cols["path"][1] == "a." * 60_000 + "content[0]" and cols["kind"] == ["text", "t"]
+
+
 def test_tables_link_parents_and_take_dirty_rows(spark):
     long = json.dumps({"content": [{"type": "text", "text": "x" * 300_000}]})
     rows = [
@@ -95,11 +130,12 @@ def test_tables_link_parents_and_take_dirty_rows(spark):
     assert got[1, "message.content[1]"] == ("tool-result", None, 1)
     assert got[1, "message.content[1].content[0]"] == ("text", "message.content[1]", 0)
     assert got[1, "message.content[1].content[1]"] == ("text", "message.content[1]", 1)
-    assert got[1, "inserted"] == ("user", None, None) and got[1, "inserted.content"] == ("text", "inserted", None)
-    assert got[None, "messageSeqs[2]"][0] == "4.5" and got[5, "content[0]"][0] == "text" and got[7, "content"][0] == "text"
+    assert got[1, "inserted[0]"] == ("user", None, 0) and got[1, "inserted[0].content[0]"] == ("text", "inserted[0]", 0)
+    assert got[None, "messageSeqs[2]"][0] == "4.5" and got[5, "content[0]"][0] == "text" and got[7, "content[0]"][0] == "text"
     assert len(got) == 9
     tables = nested_tables(df, "line_id", "data")
-    assert set(tables) == set(FIELDS) and tables["messageSeqs"].count() == 2
+    assert set(tables) == set(FIELDS) and [r.seq for r in tables["messageSeqs"].collect()] == [3, None] or [r.seq for r in tables["messageSeqs"].collect()] == [3, 4]
+    assert {(r.path, r.parent_field): r.text for r in tables["content"].where("record_id = 1").collect()}["inserted[0].content[0]", "inserted"] == "hi"
     assert flatten_elements(df.limit(0), "line_id", "data").count() == 0
 
 
