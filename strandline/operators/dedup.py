@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandline.functions.payload import parse_payload
+from strandline.runtime import materialize, release
 
 #: Numbers of one producer that are handled together; larger producers are split, so none is bound to one task.
 RANGE_BLOCK = 4096
@@ -46,6 +47,13 @@ class SeenRanges:
             self.highs.insert(i + 1, number)
         return True
 
+    def cover(self, lo: int, hi: int) -> None:
+        """Take a range as seen."""
+        i, j = bisect_left(self.highs, lo - 1), bisect_right(self.lows, hi + 1)
+        if i < j:
+            lo, hi = min(lo, self.lows[i]), max(hi, self.highs[j - 1])
+        self.lows[i:j], self.highs[i:j] = [lo], [hi]
+
     def ranges(self) -> list[tuple[int, int]]:
         return list(zip(self.lows, self.highs))
 
@@ -114,44 +122,92 @@ def keyed_rows(df: DataFrame, extra: dict[str, str] | None = None, extract: Call
     return narrow.mapInArrow(run, schema)
 
 
-def _codes(column: pa.Array) -> np.ndarray:
-    return column.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+#: What accept_rows gives of the state: the key and, for a producer's block, one of its ranges.
+_SEEN = "session_id string, scope string, ident string, block bigint, lo bigint, hi bigint"
 
 
-def _in_key_order(keyed: DataFrame) -> DataFrame:
+def _in_arrival_order(keyed: DataFrame, seen: DataFrame | None) -> DataFrame:
+    """Rows (and the state they meet) by producer and block, the state first, then as they were received."""
     block = F.when(F.col("early").isNull() | F.col("early"), F.col("row_id")).otherwise(F.floor(F.col("number") / RANGE_BLOCK))
-    spread = keyed.withColumn("block", block)
+    none = F.lit(None).cast("long")
+    rows = keyed.withColumns({"block": block, "lo": none, "hi": none, "phase": F.lit(1)})
+    if seen is not None:
+        known = seen.select(*_SEEN_COLUMNS).withColumns({"early": F.lit(False), "phase": F.lit(0)})
+        rows = rows.unionByName(known, allowMissingColumns=True)
     late = F.col("received_at").isNull()
-    return spread.repartition("session_id", "scope", "ident", "block").sortWithinPartitions("early", "session_id", "scope", "ident", "number", late, "received_at", "row_id").drop("block")
+    keys = ["session_id", "scope", "ident", "block"]
+    return rows.repartition(*keys).sortWithinPartitions("early", *keys, "phase", late, "received_at", "row_id")
 
 
-def mark_copies(keyed: DataFrame, carry: list[str] = ()) -> DataFrame:
-    """(row_id, surplus, session_id, number, *carry) for keyed_rows: surplus is true for each copy but the first received.
+_SEEN_COLUMNS = [c.split()[0] for c in _SEEN.split(", ")]
+
+
+def accept_rows(keyed: DataFrame, carry: list[str] = (), seen: DataFrame | None = None, state: bool = False) -> DataFrame:
+    """(row_id, surplus, session_id, number, *carry, scope, ident, block, lo, hi) for keyed_rows; surplus is false for a row that is accepted.
 
-    The rows of a producer come sorted by number, so its seen ranges grow at one end only: a number is covered exactly if it
-    is at most the last range's upper end. Rows with identifiers are looked up by the exact key. Each task streams over its
-    sorted part with one row of state. Rows that didn't parse keep a null surplus.
+    The rows of a block of a producer's numbers come in the order they were received and meet the ranges seen so far: an
+    uncovered number is accepted and covered, ranges that touch are merged. A row whose identifier is no number of a sequence (a
+    message id, or a null number) is looked up by its exact key. `seen` is the state that earlier batches left (see accept_batch);
+    with `state`, the state after these rows is given too, as rows with a null row_id: the ranges of each block met, the exact
+    keys met. A task streams over its sorted part and holds the ranges of one block. Rows that didn't parse keep a null surplus.
     """
+    names = ["row_id", "surplus", "session_id", "number", *carry, "scope", "ident", "block", "lo", "hi"]
     schema = T.StructType([T.StructField("row_id", T.LongType()), T.StructField("surplus", T.BooleanType()), *(keyed.schema[c] for c in ("session_id", "number", *carry))])
+    for name in names[4 + len(carry) :]:
+        schema.add(name, T.StringType() if name in ("scope", "ident") else T.LongType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
+        key, met = None, None  # the key in hand; its SeenRanges, or for an exact key whether it was seen
+
+        def left() -> list[tuple]:
+            if key is None or not state:
+                return []
+            return [(*key, *r) for r in met.ranges()] if isinstance(met, SeenRanges) else [(*key, None, None)]
+
         for batch in batches:
-            if not len(batch):
-                continue
-            early = batch.column("early")
-            key = [batch.column(c) for c in ("session_id", "scope", "ident", "number")]
-            covered = np.zeros(len(batch), bool)
-            covered[1:] = np.logical_and.reduce([(x := _codes(c))[1:] == x[:-1] for c in key])
-            covered[0] = last is not None and last == [c[0].as_py() for c in key]
-            rejected = early.fill_null(False).to_numpy(zero_copy_only=False)
-            plain = (~rejected) & early.is_valid().to_numpy(zero_copy_only=False)
-            before = np.concatenate(([last is not None], plain[:-1]))
-            surplus = pa.array(rejected | (covered & plain & before), mask=~early.is_valid().to_numpy(zero_copy_only=False))
-            last = [c[len(batch) - 1].as_py() for c in key] if plain[-1] else None
-            yield pa.RecordBatch.from_arrays([batch.column("row_id"), surplus, *(batch.column(c) for c in ("session_id", "number", *carry))], ["row_id", "surplus", "session_id", "number", *carry])
-
-    return _in_key_order(keyed).mapInArrow(run, schema)
+            early, numbers, known, lows, highs, *keys = (batch.column(c).to_pylist() for c in ("early", "number", "phase", "lo", "hi", "session_id", "scope", "ident", "block"))
+            verdict: list[bool | None] = []
+            closed: list[tuple] = []
+            for is_early, number, phase, lo, hi, *own in zip(early, numbers, known, lows, highs, *keys):
+                if is_early is not False:
+                    verdict.append(is_early)
+                    continue
+                if own != key:
+                    closed += left()
+                    key, met = own, False if own[3] is None else SeenRanges()
+                if own[3] is None:
+                    verdict.append(met)
+                    met = True
+                elif phase:
+                    verdict.append(not met.accept(number))
+                else:
+                    met.cover(lo, hi)
+                    verdict.append(None)
+            mine = pa.array(np.flatnonzero(batch.column("phase").to_numpy()))
+            whole = pa.RecordBatch.from_arrays([batch.column("row_id"), pa.array(verdict, pa.bool_()), *(batch.column(c) for c in ("session_id", "number", *carry))], names[: 4 + len(carry)]).take(mine)
+            yield _padded(whole, names, target)
+            yield _state_rows(closed, names, target)
+        yield _state_rows(left(), names, target)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    target = to_arrow_schema(schema)
+    return _in_arrival_order(keyed, seen).mapInArrow(run, schema)
+
+
+def _padded(batch: pa.RecordBatch, names: list[str], target: pa.Schema) -> pa.RecordBatch:
+    have = batch.schema.names
+    return pa.RecordBatch.from_arrays([batch.column(n).cast(target.field(n).type) if n in have else pa.nulls(len(batch), target.field(n).type) for n in names], names)
+
+
+def _state_rows(rows: list[tuple], names: list[str], target: pa.Schema) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [[]] * len(_SEEN_COLUMNS)
+    return _padded(pa.RecordBatch.from_arrays([pa.array(c, target.field(n).type) for n, c in zip(_SEEN_COLUMNS, columns)], _SEEN_COLUMNS), names, target)
+
+
+def mark_copies(keyed: DataFrame, carry: list[str] = ()) -> DataFrame:
+    """(row_id, surplus, session_id, number, *carry) for keyed_rows: surplus is true for each copy but the first received."""
+    return accept_rows(keyed, carry).select("row_id", "surplus", "session_id", "number", *carry)
 
 
 def surplus_rows(df: DataFrame) -> DataFrame:
@@ -173,18 +229,54 @@ def deduplicate(df: DataFrame) -> DataFrame:
     return df.join(surplus_rows(df), "line_id", "left_anti")
 
 
-def seen_ranges(df: DataFrame) -> DataFrame:
+def accept_batch(df: DataFrame, seen: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(line_id of the rows of this delivery that are accepted, the state for the next one); rows that don't parse aren't judged.
+
+    The state is what all deliveries so far have shown: ranges of numbers by producer and block, and exact keys. A row that any
+    earlier delivery held is surplus, however late it comes. Only blocks and keys are kept, never rows; it is written to the
+    shared folder.
+    """
+    if seen is not None:
+        touched = materialize(keyed_rows(df), "delivery")
+        out = materialize(accept_rows(touched, seen=seen, state=True), "accepted")
+        release(touched)
+    else:
+        out = materialize(accept_rows(keyed_rows(df), state=True), "accepted")
+    return out.where("row_id is not null and not surplus").select(F.col("row_id").alias("line_id")), out.where("row_id is null").select(*_SEEN_COLUMNS)
+
+
+#: Blocks that are merged into one at each level, and levels: together they span 2 ** 60 numbers.
+FAN_IN, LEVELS = 4096, 4
+
+
+def merge_blocks(ranges: DataFrame) -> DataFrame:
+    """(session_id, type, lo, hi) of ranges that lie within blocks, merged across blocks.
+
+    Only a range at an end of its block can go on in another one. At each level such ranges of FAN_IN blocks are merged, at most
+    two a block, so no task holds more than that of a producer, whatever its size.
+    """
+    size, going, done = RANGE_BLOCK, ranges, []
+    at_edge = lambda size: (F.pmod(F.col("lo"), F.lit(size)) == 0) | (F.pmod(F.col("hi") + 1, F.lit(size)) == 0)
+    for _ in range(LEVELS):
+        done.append(going.where(~at_edge(size)))
+        upper = size * FAN_IN
+        w = Window.partitionBy("session_id", "type", "up").orderBy("lo")
+        rows = going.where(at_edge(size)).withColumn("up", F.floor(F.col("lo") / upper))
+        fresh = (F.coalesce(F.lag("hi").over(w), F.col("lo") - 2) != F.col("lo") - 1).cast("long")
+        rows = rows.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(w))
+        going = rows.groupBy("session_id", "type", "up", "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("up", "run")
+        size = upper
+    out = going
+    for d in done:
+        out = out.unionByName(d)
+    return out
+
+
+def seen_ranges(df: DataFrame, seen: DataFrame | None = None) -> DataFrame:
     """(session_id, type, lo, hi, n): the disjoint ranges of numbers each producer has delivered, merged across blocks.
 
-    The gaps between a producer's ranges are the numbers it never delivered. Blocks are merged by comparing only their ends.
+    The gaps between a producer's ranges are the numbers it never delivered.
     """
-    rows = keyed_rows(df).where("not early and ident is null and number is not null").select("session_id", F.col("scope").alias("type"), "number").distinct()
-    block = F.floor(F.col("number") / RANGE_BLOCK)
-    from pyspark.sql import Window
-
-    inner = Window.partitionBy("session_id", "type", "block").orderBy("number")
-    runs = rows.withColumn("block", block).withColumn("island", F.col("number") - F.row_number().over(inner))
-    local = runs.groupBy("session_id", "type", "block", "island").agg(F.min("number").alias("lo"), F.max("number").alias("hi"))
-    outer = Window.partitionBy("session_id", "type").orderBy("lo")
-    joined = local.withColumn("new", (F.coalesce(F.lag("hi").over(outer), F.col("lo") - 2) != F.col("lo") - 1).cast("long")).withColumn("run", F.sum("new").over(outer))
-    return joined.groupBy("session_id", "type", "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).withColumn("n", F.col("hi") - F.col("lo") + 1).drop("run")
+    state = accept_rows(keyed_rows(df), seen=seen, state=True).where("row_id is null and lo is not null")
+    local = materialize(state.select("session_id", F.col("scope").alias("type"), "lo", "hi"), "ranges")
+    return merge_blocks(local).withColumn("n", F.col("hi") - F.col("lo") + 1)

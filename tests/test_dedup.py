@@ -78,3 +78,47 @@ def test_seen_ranges(numbers):
     flat = [n for lo, hi in seen.ranges() for n in range(lo, hi + 1)]
     assert flat == sorted(known)
     assert all(b[0] > a[1] + 1 for a, b in zip(seen.ranges(), seen.ranges()[1:]))
+
+
+@given(st.lists(st.tuples(st.integers(-20, 20), st.integers(0, 6))), st.lists(st.integers(-20, 20)))
+def test_covered_ranges(spans, numbers):
+    seen, known = dedup.SeenRanges(), set()
+    for n in numbers[::2]:
+        seen.accept(n)
+        known.add(n)
+    for lo, size in spans:
+        seen.cover(lo, lo + size)
+        known |= set(range(lo, lo + size + 1))
+    for n in numbers:
+        assert seen.accept(n) == (n not in known)
+        known.add(n)
+    assert [n for lo, hi in seen.ranges() for n in range(lo, hi + 1)] == sorted(known)
+    assert all(b[0] > a[1] + 1 for a, b in zip(seen.ranges(), seen.ranges()[1:]))
+
+
+def test_state_is_carried_between_deliveries(spark):
+    random.seed(5)
+    rows = []
+    for i in range(900):
+        kind = random.choice(["user/message", "turn/start", "tool/call"])
+        data = json.dumps({"id": random.choice([None, f"m{random.randint(0, 40)}"])}) if random.random() < 0.9 else "{"
+        rows.append((i, at(i), random.choice([None, "s1", "s2"]), kind, random.choice([None, *range(4000, 4200, 7)]), data))
+    seen, got = None, []
+    for part in (rows[:300], rows[300:310], rows[310:]):
+        fresh, seen = dedup.accept_batch(frame(spark, part), seen)
+        got += [r.line_id for r in fresh.collect()]
+    surplus = set(brute(rows))
+    parsed = [r[0] for r in rows if r[5] != "{"]
+    assert sorted(got) == [i for i in parsed if i not in surplus]
+    bounds = sorted((r.session_id or "", r.type, r.lo, r.hi) for r in dedup.merge_blocks(seen.where("lo is not null").select("session_id", dedup.F.col("scope").alias("type"), "lo", "hi")).collect())
+    whole = sorted((r.session_id or "", r.type, r.lo, r.hi) for r in dedup.seen_ranges(frame(spark, rows)).collect())
+    assert bounds == whole
+
+
+def test_hot_producer_is_split_by_blocks(spark):
+    n = 60_000
+    rows = spark.range(2 * n).selectExpr("id as line_id", "timestamp_ntz'2026-01-01' + make_dt_interval(0, 0, 0, id % 977) as received_at", "'s' as session_id", "'turn/start' as type", f"id % {n} as seq", "'{}' as data")
+    keyed = dedup._in_arrival_order(dedup.keyed_rows(rows.repartition(8)), None)
+    assert keyed.select("block").where("not early").distinct().count() == -(-n // dedup.RANGE_BLOCK)
+    assert dedup.surplus_rows(rows).count() == n
+    assert [(r.lo, r.hi) for r in dedup.seen_ranges(rows).collect()] == [(0, n - 1)]
