@@ -5,38 +5,37 @@ from __future__ import annotations
 import json
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from strandline.functions.payload import Reader
 from strandline.operators.ordered import blocked_last, blocked_neighbours
-from strandline.runtime import materialize
+from strandline.runtime import materialize, stored_bytes
 
 STRING, INTEGER, DOUBLE, BOOLEAN = 1, 2, 4, 8
 #: Consecutive file numbers of one writer that are ordered together.
 FILE_BLOCK = 1024
 
 
-def _reject(name: str):
-    raise ValueError(f"{name} is not JSON")
-
-
 class _Number(str):
     """A number as it was written."""
 
 
-_decoder = json.JSONDecoder(parse_constant=_reject, parse_int=_Number, parse_float=_Number)
+_read = Reader(_Number)
 
 
 def parse_record(line: str | None) -> dict | None:
-    """A line's record, or None where the line is no JSON object or nests beyond the parser."""
+    """A line's record, or None where the line is no JSON object."""
     if line is None:
         return None
     try:
-        value = _decoder.decode(line)
-    except (ValueError, RecursionError):
+        value = _read(line)
+    except ValueError:
         return None
     return value if isinstance(value, dict) else None
 
@@ -102,23 +101,25 @@ def parent_of(path: str) -> str:
 
 
 class _Node:
-    """A field in a schema tree: types is its set of scalar types (0 where no scalar stands), children its members."""
+    """An object in a schema tree: the scalar types of its fields, its inner objects, and the number of fields below it."""
 
-    __slots__ = ("types", "children", "weight")
+    __slots__ = ("fields", "objects", "weight")
 
     def __init__(self):
-        self.types, self.children, self.weight = 0, {}, 0
+        self.fields, self.objects, self.weight = {}, {}, 0
 
 
 def schema_tree(paths: dict[str, int]) -> _Node:
+    """The tree of a schema. A key that is a scalar in one record and an object in another stands in both roles."""
     root = _Node()
     for path, types in paths.items():
         node = root
         node.weight += 1
-        for key in path.split("."):
-            node = node.children.setdefault(key, _Node())
+        *above, key = path.split(".")
+        for k in above:
+            node = node.objects.setdefault(k, _Node())
             node.weight += 1
-        node.types = types
+        node.fields[key] = types
     return root
 
 
@@ -151,115 +152,158 @@ def assignment(cost: list[list[float]]) -> list[int]:
     return out
 
 
-def edit_script(old: dict[str, int], new: dict[str, int]) -> tuple[int, list[tuple[str, str, str]]]:
-    """(cost, [(operation, old path, new path)]): a least-cost script from one schema tree to another.
+class _Distance:
+    """Least cost of turning one object into another, and the matching that has it."""
 
-    Trees are unordered and edited from the top down. Operations, each of cost 1: 'add' and 'delete' of a scalar field,
-    'retype' of a field that stays, 'rename' of a field or of a whole object under its parent, 'move' of a scalar field of one
-    name and type to another parent. Fields of equal name under matched parents are matched; objects left over are matched by
-    an assignment over their own edit costs.
-    """
-    operations: list[tuple[str, str, str]] = []
-    gone: list[tuple[str, int]] = []
-    come: list[tuple[str, int]] = []
-
-    def cost_of(a: _Node, b: _Node) -> int:
-        total = int(bool(a.types) and bool(b.types) and a.types != b.types) + int(bool(a.types) != bool(b.types))
-        both = a.children.keys() & b.children.keys()
-        total += sum(cost_of(a.children[k], b.children[k]) for k in both)
-        return total + sum(a.children[k].weight for k in a.children.keys() - both) + sum(b.children[k].weight for k in b.children.keys() - both)
-
-    def lose(node: _Node, path: str, into: list) -> None:
-        if node.types:
-            into.append((path, node.types))
-        for k, child in node.children.items():
-            lose(child, f"{path}.{k}" if path else k, into)
-
-    def walk(a: _Node, b: _Node, old_path: str, new_path: str) -> None:
-        if a.types and b.types and a.types != b.types:
-            operations.append(("retype", old_path, new_path))
-        elif a.types and not b.types:
-            gone.append((old_path, a.types))
-        elif b.types and not a.types:
-            come.append((new_path, b.types))
-        under = lambda path, k: f"{path}.{k}" if path else k
-        both = [k for k in a.children if k in b.children]
-        for k in both:
-            walk(a.children[k], b.children[k], under(old_path, k), under(new_path, k))
-        left = [k for k in a.children if k not in b.children and a.children[k].children]
-        right = [k for k in b.children if k not in a.children and b.children[k].children]
-        paired: set[str] = set()
+    def __init__(self):
+        self.known: dict[tuple[int, int], tuple[int, list[tuple[str, str]]]] = {}
+
+    def between(self, a: _Node, b: _Node) -> tuple[int, list[tuple[str, str]]]:
+        """(cost, [(inner object of a, the one of b it becomes)] besides those of equal name)."""
+        todo = [(a, b, False)]
+        while todo:
+            x, y, ready = todo.pop()
+            if (id(x), id(y)) in self.known:
+                continue
+            if ready:
+                self.known[id(x), id(y)] = self._match(x, y)
+                continue
+            todo.append((x, y, True))
+            left, right = x.objects.keys() - y.objects.keys(), y.objects.keys() - x.objects.keys()
+            todo += [(o, y.objects[k], False) for k, o in x.objects.items() if k in y.objects]
+            todo += [(x.objects[k], y.objects[m], False) for k in left for m in right]
+        return self.known[id(a), id(b)]
+
+    def _match(self, a: _Node, b: _Node) -> tuple[int, list[tuple[str, str]]]:
+        cost_of = lambda x, y: self.known[id(x), id(y)][0]
+        total = sum(b.fields.get(k, t) != t for k, t in a.fields.items())
+        lost = Counter(t for k, t in a.fields.items() if k not in b.fields)
+        won = Counter(t for k, t in b.fields.items() if k not in a.fields)
+        total += lost.total() + won.total() - (lost & won).total()
+        total += sum(cost_of(x, b.objects[k]) for k, x in a.objects.items() if k in b.objects)
+        left, right = sorted(a.objects.keys() - b.objects.keys()), sorted(b.objects.keys() - a.objects.keys())
+        pairs: list[tuple[str, str]] = []
+        total += sum(a.objects[x].weight for x in left) + sum(b.objects[y].weight for y in right)
         if left and right:
-            n = len(left) + len(right)
-            cost = [[0.0] * n for _ in range(n)]
-            for i, x in enumerate(left):
-                for j in range(n):
-                    cost[i][j] = 1 + cost_of(a.children[x], b.children[right[j]]) if j < len(right) else a.children[x].weight
-            for i in range(len(left), n):
-                for j, y in enumerate(right):
-                    cost[i][j] = b.children[y].weight
+            # what pairing two objects saves against deleting the one and adding the other
+            saved = [[a.objects[x].weight + b.objects[y].weight - 1 - cost_of(a.objects[x], b.objects[y]) for y in right] for x in left]
+            n = max(len(left), len(right))
+            cost = [[-max(0, saved[i][j]) if i < len(left) and j < len(right) else 0 for j in range(n)] for i in range(n)]
             for i, j in enumerate(assignment(cost)[: len(left)]):
-                if j < len(right):
-                    x, y = left[i], right[j]
-                    paired |= {f"-{x}", f"+{y}"}
-                    operations.append(("rename", under(old_path, x), under(new_path, y)))
-                    walk(a.children[x], b.children[y], under(old_path, x), under(new_path, y))
-        for k, child in a.children.items():
-            if k not in b.children and f"-{k}" not in paired:
-                lose(child, under(old_path, k), gone)
-        for k, child in b.children.items():
-            if k not in a.children and f"+{k}" not in paired:
-                lose(child, under(new_path, k), come)
-
-    walk(schema_tree(old), schema_tree(new), "", "")
-    # scalar fields that went and came are paired as often as possible: within a parent (rename) or by name (move)
-    gone.sort()
-    come.sort()
-    options = [[j for j, (q, u) in enumerate(come) if t == u and (parent_of(p) == parent_of(q) or p.rpartition(".")[2] == q.rpartition(".")[2])] for p, t in gone]
-    for i, (p, _) in enumerate(gone):
-        options[i].sort(key=lambda j, p=p: (parent_of(come[j][0]) != parent_of(p), j))
-    partner: dict[int, int] = {}
-
-    def place(i: int, tried: set[int]) -> bool:
-        for j in options[i]:
-            if j not in tried:
-                tried.add(j)
-                if j not in partner or place(partner[j], tried):
-                    partner[j] = i
-                    return True
-        return False
+                if j < len(right) and saved[i][j] > 0:
+                    total -= saved[i][j]
+                    pairs.append((left[i], right[j]))
+        return total, pairs
 
-    for i in range(len(gone)):
-        place(i, set())
-    matched = set(partner.values())
-    for j, i in partner.items():
-        p, q = gone[i][0], come[j][0]
-        operations.append(("rename" if parent_of(p) == parent_of(q) else "move", p, q))
-    operations += [("delete", p, "") for i, (p, _) in enumerate(gone) if i not in matched]
-    operations += [("add", "", q) for j, (q, _) in enumerate(come) if j not in partner]
-    return len(operations), operations
+
+def edit_script(old: dict[str, int], new: dict[str, int]) -> tuple[int, list[tuple[str, str, str]]]:
+    """(cost, [(operation, old path, new path)]): a least-cost script from one schema tree to the other.
+
+    Trees are unordered and edited from the top down; fields and objects of equal name under matched parents are matched.
+    Operations of cost 1: 'add' and 'delete' of a field, 'retype' of a field that stays, 'rename' of a field to one of equal
+    types under the same (matched) parent, 'rename_object' of a whole object under its parent. A 'move' joins the deletion of a
+    field with the addition of one of equal name and types under another parent and costs as much as those, so it is a reading
+    of the least-cost script and never changes which one that is. Objects are paired by an assignment over what pairing saves,
+    from the leaves up, so the cost is the least there is; among equal ones names decide.
+    """
+    tree_a, tree_b = schema_tree(old), schema_tree(new)
+    distance = _Distance()
+    operations: list[tuple[str, str, str]] = []
+    gone: list[str] = []
+    come: list[str] = []
+    under = lambda path, k: f"{path}.{k}" if path else k
+
+    def list_fields(node: _Node, path: str, into: list[str]) -> None:
+        inner = [(node, path)]
+        while inner:
+            node, path = inner.pop()
+            into.extend(under(path, k) for k in node.fields)
+            inner += [(x, under(path, k)) for k, x in node.objects.items()]
+
+    todo = [(tree_a, tree_b, "", "")]
+    cost = distance.between(tree_a, tree_b)[0]
+    while todo:
+        a, b, at, to = todo.pop()
+        operations.extend(("retype", under(at, k), under(to, k)) for k, t in a.fields.items() if b.fields.get(k, t) != t)
+        waiting = defaultdict(list)
+        for k in sorted(b.fields.keys() - a.fields.keys(), reverse=True):
+            waiting[b.fields[k]].append(k)
+        for k in sorted(a.fields.keys() - b.fields.keys()):
+            if waiting[a.fields[k]]:
+                operations.append(("rename", under(at, k), under(to, waiting[a.fields[k]].pop())))
+            else:
+                gone.append(under(at, k))
+        come.extend(under(to, k) for ks in waiting.values() for k in ks)
+        renamed = distance.between(a, b)[1]
+        for x, y in renamed:
+            operations.append(("rename_object", under(at, x), under(to, y)))
+        todo += [(a.objects[x], b.objects[y], under(at, x), under(to, y)) for x, y in [(k, k) for k in a.objects if k in b.objects] + renamed]
+        for k in a.objects.keys() - b.objects.keys() - {x for x, _ in renamed}:
+            list_fields(a.objects[k], under(at, k), gone)
+        for k in b.objects.keys() - a.objects.keys() - {y for _, y in renamed}:
+            list_fields(b.objects[k], under(to, k), come)
+
+    named = lambda path, types: (path.rpartition(".")[2], types[path])
+    homes = defaultdict(list)
+    for q in sorted(come, reverse=True):
+        homes[named(q, new)].append(q)
+    for p in sorted(gone):
+        operations.append(("move", p, homes[named(p, old)].pop()) if homes[named(p, old)] else ("delete", p, ""))
+    operations.extend(("add", "", q) for qs in homes.values() for q in qs)
+    return cost, operations
+
+
+def cost_of(script: list[tuple[str, str, str]]) -> int:
+    return sum(2 if op == "move" else 1 for op, _, _ in script)
+
+
+def images(old: Iterable[str], script: list[tuple[str, str, str]]) -> dict[str, str | None]:
+    """Where a script takes each field: its new path, or None where it is deleted."""
+    objects = {p: q for op, p, q in script if op == "rename_object"}
+    fields = {p: q or None for op, p, q in script if op in ("rename", "move", "delete")}
+    out: dict[str, str | None] = {}
+    for path in old:
+        to: str | None = path
+        if path in fields:
+            to = fields[path]
+        elif objects:
+            above = path
+            while "." in above and above not in objects:
+                above = parent_of(above)
+            if above != path and above in objects:
+                to = objects[above] + path[len(above) :]
+        out[path] = to
+    return out
 
 
-def reported_changes(old: dict[str, int], new: dict[str, int]) -> list[tuple[str, str, str]]:
-    """(change, old path, new path) of the edit script, checked against what may be called a rename.
+def report(old: dict[str, int], script: list[tuple[str, str, str]]) -> list[tuple[str, str, str]]:
+    """(change, old path, new path) of a script in the report's words.
 
-    A rename stands only where exactly one field of its parent disappears, exactly one appears and their types are equal;
-    ambiguous renames, moves and renamed objects are reported field by field as removed and added.
+    A rename stands where it is all that a script does to the fields of its parent; ambiguous renames, moves and renamed objects
+    are reported field by field as removed and added.
     """
-    _, script = edit_script(old, new)
     out = [("retyped", p, q) for op, p, q in script if op == "retype" and p == q]
-    lost, won = sorted(old.keys() - new.keys()), sorted(new.keys() - old.keys())
-    lost_at, won_at = defaultdict(list), defaultdict(list)
-    for p in lost:
-        lost_at[parent_of(p)].append(p)
-    for q in won:
-        won_at[parent_of(q)].append(q)
-    renamed = {(p, q) for op, p, q in script if op == "rename" and p in old and q in new and lost_at[parent_of(p)] == [p] and won_at[parent_of(q)] == [q] and parent_of(p) == parent_of(q) and old[p] == new[q]}
-    # a move may have taken a field that its parent's only newcomer could have been renamed from, at the same cost
-    renamed |= {(ps[0], won_at[at][0]) for at, ps in lost_at.items() if len(ps) == 1 and len(won_at[at]) == 1 and old[ps[0]] == new[won_at[at][0]]}
-    out += [("renamed", p, q) for p, q in sorted(renamed)]
-    out += [("removed", p, "") for p in lost if p not in {x for x, _ in renamed}]
-    return out + [("added", "", q) for q in won if q not in {x for _, x in renamed}]
+    went = {p: q for p, q in images(old, script).items() if p != q}
+    lost, won = defaultdict(list), defaultdict(list)
+    for p, q in went.items():
+        lost[parent_of(p)].append(p)
+        if q is not None:
+            won[parent_of(q)].append(q)
+    for op, _, q in script:
+        if op == "add":
+            won[parent_of(q)].append(q)
+    renames = {(p, q) for op, p, q in script if op == "rename"}
+    for at in sorted(lost.keys() | won.keys()):
+        if len(lost[at]) == len(won[at]) == 1 and (lost[at][0], won[at][0]) in renames:
+            out.append(("renamed", lost[at][0], won[at][0]))
+        else:
+            out += [("removed", p, "") for p in sorted(lost[at])] + [("added", "", q) for q in sorted(won[at])]
+    return out
+
+
+def reported_changes(old: dict[str, int], new: dict[str, int]) -> list[tuple[str, str, str]]:
+    """The report of the least-cost script between two schemas."""
+    return report(old, edit_script(old, new)[1])
 
 
 def projected_changes(old: dict[str, int], new: dict[str, int]) -> list[tuple[str, str, str]]:
@@ -270,31 +314,35 @@ def projected_changes(old: dict[str, int], new: dict[str, int]) -> list[tuple[st
     counterpart the only one that came, under their parent.
     """
     _, script = edit_script(old, new)
-    pairs = {p: q for change, p, q in reported_changes(old, new) if change == "renamed"}
-    lost, won = old.keys() - new.keys(), new.keys() - old.keys()
+    pairs = {p: q for change, p, q in report(old, script) if change == "renamed"}
+    moved = images(old, script)
+    objects = {p: q for op, p, q in script if op == "rename_object"}
 
-    def under(paths: Iterable[str], parent: str) -> tuple[set[str], set[str]]:
+    def children(paths: Iterable[str], parent: str) -> set[str]:
+        """Inner objects of an object."""
         rest = [p[len(parent) + 1 if parent else 0 :] for p in paths if not parent or p.startswith(parent + ".")]
-        return {r.partition(".")[0] for r in rest}, {r.partition(".")[0] for r in rest if "." in r}
-
-    taken = set(pairs.values())
-    for op, p, q in sorted(script, key=lambda x: -len(x[1])):  # the innermost object first
-        if op == "rename" and any(x.startswith(p + ".") for x in old):
-            keys, objects = under(old, parent_of(p))
-            new_keys, new_objects = under(new, parent_of(q))
-            if len(objects - new_keys) == 1 == len(new_objects - keys):
-                for x in sorted(lost - pairs.keys()):
-                    y = q + x[len(p) :]
-                    if x.startswith(p + ".") and y in won and y not in taken and old[x] == new[y]:
-                        pairs[x] = y
-                        taken.add(y)
-    kind = lambda x, types: (x.rpartition(".")[2], types[x])
-    went, came = Counter(kind(x, old) for x in lost - pairs.keys()), Counter(kind(y, new) for y in won - taken)
-    for op, p, q in script:
-        if op == "move" and p not in pairs and q not in taken and went[kind(p, old)] == 1 == came[kind(q, new)]:
+        return {r.partition(".")[0] for r in rest if "." in r}
+
+    sole = set()  # renamed objects that are the only one that went, for the only one that came
+    for p, q in objects.items():
+        before, after = children(old, parent_of(p)), children(new, parent_of(q))
+        if len(before - after) == 1 == len(after - before):
+            sole.add(p)
+    went, came = Counter((p.rpartition(".")[2], old[p]) for p, q in moved.items() if p != q), Counter((q.rpartition(".")[2], new[q]) for q in new.keys() - old.keys())
+    moves = {p for op, p, _ in script if op == "move"}
+    own_rename = {p for op, p, _ in script if op == "rename"}
+    for p, q in moved.items():
+        if q is None or q == p or p in pairs or p in own_rename or old[p] != new[q] or p.count("[]") != q.count("[]"):
+            continue
+        kind = (p.rpartition(".")[2], old[p])
+        above = parent_of(p)
+        while above and above not in objects:
+            above = parent_of(above)
+        if p in moves and went[kind] == 1 == came[kind] or p not in moves and above in sole:
             pairs[p] = q
-            taken.add(q)
-    return [("renamed", p, q) for p, q in sorted(pairs.items())] + [("removed", p, "") for p in sorted(lost - pairs.keys())] + [("added", "", q) for q in sorted(won - taken)]
+    taken = set(pairs.values())
+    lost, won = [p for p, q in moved.items() if q != p and p not in pairs], [q for q in new if q not in old and q not in taken]
+    return [("renamed", p, q) for p, q in sorted(pairs.items())] + [("removed", p, "") for p in sorted(lost)] + [("added", "", q) for q in sorted(won)]
 
 
 def _pairs(schemas: DataFrame) -> DataFrame:
@@ -416,13 +464,129 @@ def _canonical(edges: DataFrame) -> DataFrame:
     return edges.groupBy("record_type").applyInPandas(run, "record_type string, name string, root string")
 
 
-def unified_table(df: DataFrame) -> DataFrame:
-    """(writer, file_no, file, line_no, record_type, fields): every record with its fields under consistent names.
+@lru_cache(maxsize=65536)
+def _key_and_arrays(key: str) -> tuple[str, int]:
+    """A path's key without the brackets behind it, and how many arrays those stand for."""
+    n = 0
+    while key.endswith("[]"):
+        key, n = key[:-2], n + 1
+    return key, n
+
+
+def place(out: dict, path: str, at: list[int], value: object) -> bool:
+    """Put a scalar under a path, `at` being its position in each array on the way; False where something else stands there."""
+    places = iter(at)
+    steps: list[str | int] = []
+    for key in path.split("."):
+        name, arrays = _key_and_arrays(key)
+        steps.append(name)
+        steps.extend(next(places) for _ in range(arrays))
+    box = out
+    for step, after in zip(steps, steps[1:]):
+        kind = _Array if isinstance(after, int) else dict
+        box = box.setdefault(step, kind())
+        if type(box) is not kind:
+            return False
+    if steps[-1] in box:
+        return False
+    box[steps[-1]] = value
+    return True
+
+
+class _Array(dict):
+    """An array under way: its elements by position."""
+
+
+def placed_leaves(value: object) -> Iterator[tuple[str, list[int], object]]:
+    """(path, positions in the arrays on the way, scalar) of every string, number and boolean."""
+    stack: list[tuple[str, list[int], object]] = [("", [], value)]
+    while stack:
+        path, at, value = stack.pop()
+        if isinstance(value, dict):
+            stack.extend((f"{path}.{k}" if path else k, at, v) for k, v in reversed(value.items()))
+        elif isinstance(value, list):
+            stack.extend((path + "[]", [*at, i], v) for i, v in reversed(list(enumerate(value))))
+        elif value is not None:
+            yield path, at, value
+
+
+def json_text(value: object) -> str:
+    """JSON of a rebuilt record, without recursion; what an array lacks between its elements is null."""
+    out: list[str] = []
+    stack: list[object] = [value]
+    while stack:
+        v = stack.pop()
+        if isinstance(v, _Raw):
+            out.append(v)
+        elif isinstance(v, _Array):
+            stack.append(_Raw("]"))
+            for i in range(max(v), -1, -1):
+                stack.append(v.get(i, _Raw("null")))
+                if i:
+                    stack.append(_Raw(","))
+            stack.append(_Raw("["))
+        elif isinstance(v, dict):
+            stack.append(_Raw("}"))
+            for i, (k, x) in reversed(list(enumerate(sorted(v.items())))):
+                stack += [x, _Raw(("," if i else "") + json.dumps(k, ensure_ascii=False) + ":")]
+            stack.append(_Raw("{"))
+        else:
+            out.append(v if isinstance(v, _Number) else json.dumps(v, ensure_ascii=False))
+    return "".join(out)
+
+
+class _Raw(str):
+    """Text that is written as it is."""
+
+
+#: Objects within each other that typed columns follow; what lies deeper is kept in them as JSON text.
+COLUMN_DEPTH = 32
+#: Bytes of projections that are broadcast to the lines; larger ones are joined by a shuffle, with the same result.
+BROADCAST_BYTES = 32 << 20
+
+
+def column_type(paths: dict[str, int]) -> T.StructType:
+    """The columns of canonical paths: whole numbers are bigint, numbers of either kind double, booleans boolean, all else string.
+
+    A path that is a scalar in one record and an object or array in another is a string, which holds the latter as JSON.
+    """
 
-    fields maps the consistent path to the value's text; the values of a path through arrays come as a JSON array in order.
-    Lines that hold no record of a type are left out; repeated lines stay. Fields follow the edit scripts' renames, moves and
-    renamed objects where these are unambiguous. A writer that never had a field's older name takes it from the other writers,
-    unless that would give two of its fields one name.
+    def shape(node: dict, depth: int) -> T.DataType:
+        types, array, members = node["types"], node["array"], node["members"]
+        if (types > 0) + (array is not None) + (len(members) > 0) != 1 or depth > COLUMN_DEPTH:
+            return T.StringType()
+        if types:
+            return {INTEGER: T.LongType(), DOUBLE: T.DoubleType(), INTEGER | DOUBLE: T.DoubleType(), BOOLEAN: T.BooleanType()}.get(types, T.StringType())
+        if array is not None:
+            return T.ArrayType(shape(array, depth + 1))
+        return T.StructType([T.StructField(k, shape(x, depth + 1)) for k, x in sorted(members.items())])
+
+    fresh = lambda: {"types": 0, "array": None, "members": {}}
+    root = fresh()
+    for path, types in paths.items():
+        node = root
+        for key in path.split("."):
+            name, arrays = _key_and_arrays(key)
+            node = node["members"].setdefault(name, fresh())
+            for _ in range(arrays):
+                node["array"] = node["array"] or fresh()
+                node = node["array"]
+        node["types"] |= types
+    out = shape(root, 0)
+    return out if isinstance(out, T.StructType) else T.StructType([])
+
+
+def unified_table(df: DataFrame, typed: bool = False) -> DataFrame:
+    """(writer, file_no, file, line_no, record_type, record): every record as JSON with its fields under consistent names.
+
+    Fields follow the edit scripts' renames, moves and renamed objects where these are unambiguous; a writer that never had a
+    field's older name takes it from the other writers, unless that would give two of its fields one name. Elements of arrays
+    stay together and in place, so what belonged to one object still does; a field whose consistent place is taken by another
+    one stands under its own path as a key. Null fields, empty objects and empty arrays are
+    left out; lines that hold no record of a type are left out; repeated lines stay.
+
+    With `typed`, the column `fields` holds the record under one schema for all records (see column_type); a whole number beyond
+    64 bits is null there. That schema, one entry for each consistent path of all files, is what the driver gets to see.
     """
     schemas = materialize(file_schemas(df), "paths")
     compiled = projections(_compare(schemas, projected_changes))
@@ -430,36 +594,37 @@ def unified_table(df: DataFrame) -> DataFrame:
     # the projection in force at a file: carried forward from the last file that changed
     stamps = files.join(compiled.withColumnRenamed("since", "file_no"), ["writer", "record_type", "file_no"], "left")
     in_force = blocked_last(stamps, ["writer", "record_type"], "file_no", FILE_BLOCK, "names").where("size(names) > 0").select("writer", "record_type", "file_no", "names")
-    paths = schemas.select("writer", "record_type", "file_no", "path").distinct().join(in_force, ["writer", "record_type", "file_no"], "left")
-    named = materialize(paths.select("writer", "record_type", "file_no", "path", F.coalesce(F.try_element_at("names", "path"), "path").alias("name")), "named")
+    paths = schemas.groupBy("writer", "record_type", "file_no", "path").agg(F.bit_or("types").alias("types")).join(in_force, ["writer", "record_type", "file_no"], "left")
+    named = materialize(paths.select("writer", "record_type", "file_no", "path", "types", F.coalesce(F.try_element_at("names", "path"), "path").alias("name")), "named")
     edges = named.where("name <> path and not name rlike '@[0-9]+$'").groupBy("record_type", F.col("path").alias("new"), F.col("name").alias("old")).agg(F.count_distinct("writer").alias("writers"))
     own = named.select("writer", "record_type", "name").distinct().join(_canonical(edges), ["record_type", "name"], "left").withColumn("root", F.coalesce("root", "name"))
     canon = own.groupBy("writer", "record_type", "root").agg(F.min("name").alias("name"), F.count("*").alias("n")).where("n = 1 and name <> root").drop("n")
-    final = named.join(canon, ["writer", "record_type", "name"], "left").withColumn("root", F.coalesce("root", "name")).where("root <> path")
-    maps = final.groupBy("writer", "file_no", "record_type").agg(F.map_from_entries(F.collect_list(F.struct("path", "root"))).alias("names"))
-    by_file = maps.groupBy("writer", "file_no").agg(F.map_from_entries(F.collect_list(F.struct("record_type", "names"))).alias("names"))
+    final = named.join(canon, ["writer", "record_type", "name"], "left").withColumn("root", F.coalesce("root", "name"))
+    maps = final.where("root <> path").groupBy("writer", "file_no", "record_type").agg(F.map_from_entries(F.collect_list(F.struct("path", "root"))).alias("names"))
+    by_file = materialize(maps.groupBy("writer", "file_no").agg(F.map_from_entries(F.collect_list(F.struct("record_type", "names"))).alias("names")), "projections")
+    by_file = F.broadcast(by_file) if stored_bytes(by_file) <= BROADCAST_BYTES else by_file
     lines = _files(df).join(by_file, ["writer", "file_no"], "left").select("writer", "file_no", "file", "line_no", "line", "names")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            take, kinds, fields = [], [], []
+            take, kinds, records = [], [], []
             for i, (line, maps) in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())):
                 record = parse_record(line)
                 if record is None or not isinstance(record.get("type"), str):
                     continue
                 names = dict(dict(maps or ()).get(record["type"]) or ())
-                flat: dict[str, object] = {}
-                for path, value in leaves(record):
-                    path = _clean(names.get(path, path))
-                    text = _clean(json.dumps(value) if isinstance(value, bool) else str(value))
-                    if "[]" in path:
-                        flat.setdefault(path, []).append(text)
-                    else:
-                        flat[path] = text
+                out: dict = {}
+                for path, at, value in placed_leaves(record):
+                    if not place(out, names.get(path, path), at, value):
+                        out.setdefault(path, value)
                 take.append(i)
                 kinds.append(_clean(record["type"]))
-                fields.append([(k, v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)) for k, v in flat.items()])
+                records.append(_clean(json_text(out)))
             at = pa.array(take, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in range(4)), pa.array(kinds, pa.string()), pa.array(fields, pa.map_(pa.string(), pa.string()))], ["writer", "file_no", "file", "line_no", "record_type", "fields"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in range(4)), pa.array(kinds, pa.string()), pa.array(records, pa.string())], ["writer", "file_no", "file", "line_no", "record_type", "record"])
 
-    return lines.mapInArrow(run, "writer string, file_no bigint, file string, line_no bigint, record_type string, fields map<string,string>")
+    out = lines.mapInArrow(run, "writer string, file_no bigint, file string, line_no bigint, record_type string, record string")
+    if typed:
+        seen = {r["root"]: r["types"] for r in final.groupBy("root").agg(F.bit_or("types").alias("types")).collect()}
+        out = out.withColumn("fields", F.from_json("record", column_type(seen)))
+    return out

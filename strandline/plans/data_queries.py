@@ -198,6 +198,6 @@ def p5_edit_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def p5_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All records under consistent field names, one row for each field."""
-    flat = schema_drift.unified_table(table(spark, sf_dir, "log_lines"))
-    return flat.select("writer", "file_no", "file", "line_no", "record_type", F.explode("fields").alias("path", "value"))
+    """All records of all writers as one table of typed columns under consistent field names."""
+    whole = schema_drift.unified_table(table(spark, sf_dir, "log_lines"), typed=True)
+    return whole.select("writer", "file_no", "file", "line_no", "record_type", "record", "fields")

@@ -50,6 +50,13 @@ def counted(df: DataFrame) -> int:
     return df._strandline_count  # noqa: SLF001
 
 
+def stored_bytes(df: DataFrame) -> int:
+    """Size of a table made by materialize(), as stored: what a broadcast of it is checked by."""
+    jvm = df.sparkSession._jvm  # noqa: SLF001
+    path = jvm.org.apache.hadoop.fs.Path(df._strandline_path)  # noqa: SLF001
+    return path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).getContentSummary(path).getLength()  # noqa: SLF001
+
+
 def release(*frames: DataFrame) -> None:
     """Delete tables made by materialize() that no later step reads."""
     for df in frames:

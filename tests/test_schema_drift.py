@@ -36,17 +36,55 @@ def test_reported_changes_equal_the_definition():
         assert sorted(sd.reported_changes(a, b)) == brute(a, b)
 
 
+def least(a, b):
+    """Least cost by trying every matching of what is left over."""
+
+    def matchings(xs, ys, price, lone_x, lone_y):
+        if not xs:
+            return sum(map(lone_y, ys))
+        best = lone_x(xs[0]) + matchings(xs[1:], ys, price, lone_x, lone_y)
+        for i, y in enumerate(ys):
+            if (p := price(xs[0], y)) is not None:
+                best = min(best, p + matchings(xs[1:], ys[:i] + ys[i + 1 :], price, lone_x, lone_y))
+        return best
+
+    cost = sum(b.fields.get(k, t) != t for k, t in a.fields.items()) + sum(least(x, b.objects[k]) for k, x in a.objects.items() if k in b.objects)
+    one = lambda _: 1
+    cost += matchings([k for k in a.fields if k not in b.fields], [k for k in b.fields if k not in a.fields], lambda x, y: 1 if a.fields[x] == b.fields[y] else None, one, one)
+    xs, ys = [k for k in a.objects if k not in b.objects], [k for k in b.objects if k not in a.objects]
+    return cost + matchings(xs, ys, lambda x, y: 1 + least(a.objects[x], b.objects[y]), lambda x: a.objects[x].weight, lambda y: b.objects[y].weight)
+
+
 def test_scripts_are_least_cost():
     assert sd.edit_script({"a": 1}, {"b": 1})[1] == [("rename", "a", "b")]
-    assert sd.edit_script({"x.a": 1, "y.b": 2}, {"x.c": 2, "y.a": 1})[0] <= 3
+    assert sd.edit_script({"x.a": 1, "x.b": 1, "x.c": 1}, {"y.d": 1, "y.e": 1, "y.f": 1})[0] == 4
     assert sd.edit_script({"d.k": 1, "s": 1}, {"e.k": 1, "s": 2})[0] == 2  # one object renamed, one field retyped
     assert ("move", "x.a", "y.a") in sd.edit_script({"x.a": 1, "x.q": 2, "y.z": 2}, {"x.q": 2, "y.z": 2, "y.a": 1})[1]
     assert sd.edit_script({}, {}) == (0, [])
     random.seed(8)
-    for _ in range(500):
-        a, b = some_schema(), some_schema()
+    keys = ["a", "b", "x.a", "x.b", "x.c", "y.a", "y.d", "z.q.a", "z.q.b", "z.r.c", "w.q.a", "w.s.b", "w.s.d", "v[].a", "x"]
+    for _ in range(1500):
+        a, b = ({k: random.choice([1, 1, 2]) for k in random.sample(keys, random.randint(0, 9))} for _ in range(2))
         cost, script = sd.edit_script(a, b)
-        assert cost == len(script) <= len(a.keys() - b.keys()) + len(b.keys() - a.keys()) + sum(a[k] != b[k] for k in a.keys() & b.keys())
+        assert cost == sd.cost_of(script) == least(sd.schema_tree(a), sd.schema_tree(b))
+        # the script turns the one schema into the other
+        to = sd.images(a, script)
+        retyped = {q for op, _, q in script if op == "retype"}
+        assert {q for q in to.values() if q} | {q for op, _, q in script if op == "add"} == b.keys()
+        assert all(q is None or (a[p] != b[q]) == (q in retyped) for p, q in to.items())
+
+
+def test_report_is_decided_by_the_script():
+    old, new = {"a": 1, "d.x": 1}, {"b": 1, "e.x": 1}
+    assert sorted(sd.reported_changes(old, new)) == brute(old, new)
+    assert sd.report(old, []) == [] and sd.report(old, [("delete", "a", "")]) == [("removed", "a", "")]
+
+
+def test_deep_schemas_are_compared():
+    deep = "a." * 5000 + "z"
+    assert sd.reported_changes({deep: 1}, {deep: 2, "q": 1}) == [("retyped", deep, deep), ("added", "", "q")]
+    line = '{"type":"t","d":' + '{"a":' * 50_000 + "1" + "}" * 50_001
+    assert [p.count(".") for p, _ in sd.leaves(sd.parse_record(line))] == [0, 50_000]
 
 
 def test_assignment_is_optimal():
@@ -75,10 +113,13 @@ def test_changes_renames_and_types(spark):
     ]
     got = sorted((r.file, r.record_type, r.change, r.old_path, r.new_path) for r in sd.schema_changes(frame(spark, files)).collect())
     assert got == [("v/2", "t", "retyped", "q[].r", "q[].r"), ("w/4", "t", "renamed", "a", "b"), ("w/4000", "t", "retyped", "b", "b"), ("w/4002", "t", "added", "", "a"), ("w/4003", "t", "removed", "a", "")]
-    unified = {(r.file, r.line_no): dict(r.fields) for r in sd.unified_table(frame(spark, files)).collect()}
-    assert unified["w/1", 0]["a"] == "1" and unified["w/4", 0]["a"] == "1" and unified["w/4003", 0]["a"] == "1.0"
-    assert unified["w/4002", 0]["a@4002"] == "true" and unified["w/4002", 0]["a"] == "2.5"
-    assert json.loads(unified["v/1", 0]["q[].r"]) == ["1", "s"]
+    rows = sd.unified_table(frame(spark, files), typed=True).collect()
+    unified = {(r.file, r.line_no): json.loads(r.record) for r in rows}
+    assert unified["w/1", 0]["a"] == 1 and unified["w/4", 0]["a"] == 1 and unified["w/4003", 0]["a"] == 1.0
+    assert unified["w/4002", 0]["a@4002"] is True and unified["w/4002", 0]["a"] == 2.5
+    assert unified["v/1", 0]["q"] == [{"r": 1}, {"r": "s"}]
+    typed = {(r.file, r.line_no): r.fields for r in rows}
+    assert typed["w/4", 0].a == 1.0 and typed["w/4002", 0]["a@4002"] is True and [x.r for x in typed["v/1", 0].q] == ["1", "s"]
     assert sd.schema_changes(frame(spark, files).limit(0)).count() == 0 and sd.unified_table(frame(spark, files).limit(0)).count() == 0
 
 
@@ -93,7 +134,15 @@ def test_unified_table_follows_moves_objects_and_other_writers(spark):
         ("v", 1, [rec(x={"q": 2}, y={"z": 3, "id": "5"}, n={"k": 4, "m": True})]),
         ("u", 1, [rec(x={"id": "6"}, y={"id": "7"})]),
     ]
-    got = {(r.writer, r.file_no): dict(r.fields) for r in sd.unified_table(frame(spark, files)).collect()}
-    assert got["w", 1] == got["w", 2] and got["w", 2]["x.id"] == "1" and got["w", 2]["o.k"] == "1" and got["w", 2]["o.m"] == "true"
-    assert got["v", 1]["x.id"] == "5" and got["v", 1]["o.k"] == "4" and "y.id" not in got["v", 1]
-    assert got["u", 1]["x.id"] == "6" and got["u", 1]["y.id"] == "7"  # both at once: two fields
+    got = {(r.writer, r.file_no): json.loads(r.record) for r in sd.unified_table(frame(spark, files)).collect()}
+    assert got["w", 1] == got["w", 2] and got["w", 2]["x"]["id"] == "1" and got["w", 2]["o"] == {"k": 1, "m": True}
+    assert got["v", 1]["x"]["id"] == "5" and got["v", 1]["o"]["k"] == 4 and "id" not in got["v", 1]["y"]
+    assert got["u", 1]["x"]["id"] == "6" and got["u", 1]["y"]["id"] == "7"  # both at once: two fields
+
+
+def test_arrays_stay_aligned():
+    value = {"q": [{"r": 1, "s": "x"}, {"s": "y"}, {}, {"r": 2}], "m": [[1, None], [3]], "t": True}
+    out = {}
+    for path, at, v in sd.placed_leaves(value):
+        sd.place(out, {"q[].r": "q[].z", "t": "u.t"}.get(path, path), at, v)
+    assert json.loads(sd.json_text(out)) == {"q": [{"z": 1, "s": "x"}, {"s": "y"}, None, {"z": 2}], "m": [[1], [3]], "u": {"t": True}}
