@@ -30,19 +30,23 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/strandline/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str, count: Column | None = None) -> DataFrame:
+def materialize(df: DataFrame, label: str, count: Column | None = None, observed: dict[str, Column] | None = None) -> DataFrame:
     """Write df once to the shared folder and read it back: cuts lineage and survives lost executors.
 
-    With count, the rows for which it holds are counted as they are written; counted() tells how many.
+    With count, the rows for which it holds are counted as they are written; counted() tells how many. Other aggregates can be
+    observed the same way.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
     seen = Observation()
     schema = df.schema
-    (df if count is None else df.observe(seen, F.count_if(count).alias("n"))).write.parquet(path)
+    wanted = dict(observed or {}) | ({} if count is None else {"n": F.count_if(count)})
+    (df.observe(seen, *(c.alias(n) for n, c in wanted.items())) if wanted else df).write.parquet(path)
     out = spark.read.schema(schema).parquet(path)
+    found = seen.get if wanted else {}
     out._strandline_path = path  # noqa: SLF001  for release()
-    out._strandline_count = None if count is None else seen.get["n"] or 0  # noqa: SLF001
+    out._strandline_observed = found  # noqa: SLF001
+    out._strandline_count = None if count is None else found["n"] or 0  # noqa: SLF001
     return out
 
 
@@ -65,6 +69,21 @@ def release(*frames: DataFrame) -> None:
             delete(df.sparkSession, path)
 
 
+def make_folder(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(target)  # noqa: SLF001
+
+
+def rename(spark: SparkSession, path: str, target: str) -> None:
+    """Move a folder where it exists; its parent is made."""
+    hadoop = spark._jvm.org.apache.hadoop.fs  # noqa: SLF001
+    a, b = hadoop.Path(path), hadoop.Path(target)
+    fs = a.getFileSystem(spark._jsc.hadoopConfiguration())  # noqa: SLF001
+    fs.mkdirs(b.getParent())
+    if fs.exists(a) and not fs.rename(a, b):
+        raise OSError(f"{path} can't be moved to {target}")
+
+
 def delete(spark: SparkSession, path: str) -> None:
     jvm = spark._jvm  # noqa: SLF001
     target = jvm.org.apache.hadoop.fs.Path(path)
