@@ -28,10 +28,10 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SAID = "CASE json_type(c) WHEN 'VARCHAR' THEN json_extract_string(c, '$') WHEN 'OBJECT' THEN CASE WHEN json_extract_string(c, '$.type') = 'text' THEN json_extract_string(c, '$.text') END WHEN 'ARRAY' THEN (SELECT string_agg(CASE WHEN json_type(e) = 'VARCHAR' THEN json_extract_string(e, '$') WHEN json_extract_string(e, '$.type') = 'text' THEN json_extract_string(e, '$.text') END, ' ') FROM (SELECT unnest(a) AS e)) END"
 #: Rows of human messages ('h') and replies ('r') that parse and aren't copies, and whether they say anything.
 SPOKEN = f"""
-SELECT session_id, seq, mid, role, regexp_replace(coalesce(text, ''), '{WHITE}+', '', 'g') <> '' AS said FROM (SELECT *, {_SAID} AS text FROM (SELECT *, CASE WHEN json_type(c) = 'ARRAY' THEN CAST(c AS JSON[]) ELSE [] END AS a FROM (
+SELECT session_id, seq, mid, role, text, regexp_replace(coalesce(text, ''), '{WHITE}+', '', 'g') <> '' AS said FROM (SELECT *, {_SAID} AS text FROM (SELECT *, CASE WHEN json_type(c) = 'ARRAY' THEN CAST(c AS JSON[]) ELSE [] END AS a FROM (
   SELECT *, CASE WHEN role = 'h' THEN json_extract(doc, '$.content') WHEN role = 'r' THEN json_extract(doc, '$.message.content') END AS c FROM (
     SELECT *, CASE WHEN type = 'user/message' AND json_extract_string(doc, '$.source.kind') = 'user' THEN 'h' WHEN type = 'assistant/message' THEN 'r' END AS role FROM ({COPIES}) WHERE copy = 1))))"""
-SQL["p3_found"] = f"""
+REASONS = f"""
 WITH good AS (SELECT * FROM ({SPOKEN})),
 facts AS (SELECT session_id, max(seq) AS largest, count(DISTINCT CASE WHEN ok THEN seq END) AS numbers FROM (SELECT session_id, seq, true AS ok FROM good UNION ALL SELECT session_id, seq, false FROM ({PARSED}) WHERE doc IS NULL) GROUP BY 1),
 voiced AS (SELECT session_id, bool_or(role IS NOT NULL AND said) AS said FROM good GROUP BY 1),
@@ -40,8 +40,10 @@ signs AS (SELECT session_id, role, lead(role) OVER (PARTITION BY session_id ORDE
 stuck AS (SELECT DISTINCT session_id FROM signs WHERE role = 'h' AND coalesce(after, 'h') = 'h')
 SELECT * FROM (
   SELECT f.session_id, CASE WHEN NOT coalesce(v.said, false) THEN 'empty' WHEN f.numbers < f.largest + 1 OR c.session_id IS NOT NULL THEN 'broken' WHEN s.session_id IS NOT NULL THEN 'unanswered' END AS reason
-  FROM facts f LEFT JOIN voiced v USING (session_id) LEFT JOIN clash c USING (session_id) LEFT JOIN stuck s USING (session_id))
-WHERE reason IS NOT NULL"""
+  FROM facts f LEFT JOIN voiced v USING (session_id) LEFT JOIN clash c USING (session_id) LEFT JOIN stuck s USING (session_id))"""
+SQL["p3_found"] = REASONS + " WHERE reason IS NOT NULL"
+SQL["p3_conversations"] = f"""SELECT session_id, seq, CASE role WHEN 'h' THEN 'user' ELSE 'assistant' END AS role, text FROM ({SPOKEN})
+  WHERE said AND role IS NOT NULL AND seq >= 0 AND session_id IN (SELECT session_id FROM ({REASONS}) WHERE reason IS NULL)"""
 
 
 @query

@@ -2,8 +2,8 @@ import datetime
 import json
 import random
 
+import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 
 from strandline.llm import conversations as cv
 from strandline.runtime import scratch_path
@@ -76,26 +76,43 @@ def test_long_sessions_are_folded_over_blocks(spark):
         cv.SEQ_BLOCK, cv.FAN_IN = old
 
 
-@pytest.mark.parametrize("parts", [1, 5])
-def test_any_split_of_the_stream_gives_the_same(spark, parts):
-    """Rows in several micro-batches, some after their conversation was closed."""
-    random.seed(parts)
+@pytest.mark.parametrize("ends", [1, 3])
+def test_any_split_of_the_stream_gives_the_same(spark, ends):
+    """Rows in several deliveries, some after their conversation was closed and had left the state."""
+    random.seed(ends)
     rows = [(s, seq, f, T0 + datetime.timedelta(minutes=random.randint(0, 600))) for s in "abc" for seq, f in enumerate([cv.PRESENT | cv.HUMAN | cv.HUMAN_SAID, cv.PRESENT | cv.REPLY | cv.SAID] * 4)]
     rows.sort(key=lambda r: r[3])
     base = scratch_path(spark, "split")
-    schema = "session_id string, seq bigint, flags int, event_time timestamp"
-    late = rows.pop(3)
-    groups = [rows[i::parts] for i in range(parts)] if parts == 1 else [rows[: len(rows) // 2], rows[len(rows) // 2 :], [late]]
-    if parts == 1:
-        groups[0].append(late)
+    groups = [rows] if ends == 1 else [rows[:8], rows[8:16], rows[16:]]
+    found = cv.conversation_fragments(cv.delivered(spark, base), "1 minute", 600_000)
     for i, g in enumerate(groups):
-        spark.createDataFrame(g, schema).coalesce(1).write.parquet(f"{base}/rows/{i}")
-        stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{base}/rows")
-        found = cv.replay(cv.conversation_fragments(stream, "30 days", 600_000, 4), base)
-    cv._close(spark, f"{base}/rows/end", stream)
-    found = cv.replay(cv.conversation_fragments(stream, "30 days", 600_000, 4), base)
-    got = {r.session_id: (r.numbers, r.largest, r.stuck, r.last_sign) for r in cv.fold_fragments(found.where(F.col("session_id") != cv.MARK)).collect()}
+        part = spark.createDataFrame([(ord(s) % 2, s, 0, seq, f, f"{s}{seq}", t) for s, seq, f, t in g], cv.ROW)
+        part.coalesce(1).write.parquet(f"{base}/rows/{i}")
+        if i + 1 == len(groups):
+            cv._end(spark, 2, rows[-1][3]).write.parquet(f"{base}/rows/end")
+        cv.run_available(found, base)
+    emitted = spark.read.schema(cv.FRAGMENT).parquet(f"{base}/fragments")
+    assert emitted.count() > 3 if ends == 3 else emitted.count() >= 3
+    whole = cv.join_fragments(emitted)
+    got = {r.session_id: (r.numbers, r.largest, r.stuck, r.last_sign) for r in cv.fold_fragments(whole, 1).collect()}
     assert got == {s: (8, 7, False, 2) for s in "abc"}
+    texts = {r.session_id: sorted(r.texts) for r in whole.collect()}
+    assert texts == {s: [f"{s}{i}" for i in range(8)] for s in "abc"}
+
+
+def test_state_holds_open_conversations_only():
+    """Closed entries leave the state, however many there were; an empty shard has none."""
+    shard = cv._Shard()
+    sizes = []
+    for hour in range(50):
+        t = hour * 3_600_000
+        shard.add(pd.DataFrame({"session_id": [f"s{hour}"] * 20, "block": 0, "seq": range(20), "flags": cv.PRESENT, "touched": t, "text": "x" * 100}))
+        shard.take(t, 2 * 3_600_000)
+        sizes.append(len(shard.blob()))
+        assert len(shard.rows) <= 40
+        shard = cv._Shard(shard.blob())
+    assert max(sizes[5:]) <= 1.1 * max(sizes[:5])
+    assert len(shard.take(None, 10**12)) and not len(shard.rows)
 
 
 def test_text_of():
