@@ -6,7 +6,7 @@ import contextlib
 import tempfile
 import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -17,10 +17,13 @@ CHECKPOINT_KEY = "spark.checkpoint.dir"
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the cluster names it in spark.checkpoint.dir.
 
-    Only where the setting is absent (tests, a laptop) a temporary folder is made and kept in the session's configuration.
+    Only where the setting is absent (tests, a laptop) a temporary folder is made and kept in the session's configuration; on a
+    cluster that is an error, as no folder of one machine will do.
     """
     found = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{CHECKPOINT_KEY} must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="strandline-")
         spark.conf.set(CHECKPOINT_KEY, found)
     return found.rstrip("/")
@@ -47,9 +50,35 @@ def materialize(df: DataFrame, label: str, count: Column | None = None, observed
     out._strandline_path = path  # noqa: SLF001  for release()
     out._strandline_observed = found  # noqa: SLF001
     out._strandline_count = None if count is None else found["n"] or 0  # noqa: SLF001
+    if open_scopes := getattr(_scopes, "open", None):
+        open_scopes[-1].append(out)
     return out
 
 
+_scopes = threading.local()
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that materialize() makes in this block are deleted at its end, but for those handed to the function it gives."""
+    made: list[DataFrame] = []
+    kept: list[DataFrame] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df)
+        return df
+
+    stack = _scopes.__dict__.setdefault("open", [])
+    stack.append(made)
+    try:
+        yield keep
+    finally:
+        stack.pop()
+        release(*(df for df in made if not any(df is k for k in kept)))
+        if stack:
+            stack[-1].extend(kept)
+
+
 def counted(df: DataFrame) -> int:
     return df._strandline_count  # noqa: SLF001
 

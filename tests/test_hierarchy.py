@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from strandline.operators import hierarchy, lineage
 from strandline.operators.ordered import blocked_neighbours
 
@@ -60,7 +62,7 @@ def test_random_forest_with_cycles(spark):
     rows += [(f"n{i}", random.choice([f"n{random.randint(0, i)}", f"N{random.randint(max(0, i - 3), i)} ", None, f"n{random.randint(0, 150)}"]), i) for i in range(150)]
     h, below = check(spark, rows)
     wanted = spark.createDataFrame([("a",), ("n0",), ("x",), ("none",)], "session_id string")
-    got = {(r.session_id, r.descendant_id) for r in hierarchy.descendants_of(h, wanted, span=3).collect()}
+    got = {(r.session_id, r.descendant_id) for r in hierarchy.descendants_of(h, wanted).collect()}
     expected, _ = brute(rows)
     assert got == {(i, j) for i in ("a", "n0") if expected[i][1] >= 0 for j in below[i]}
 
@@ -77,6 +79,43 @@ def test_deep_chain_star_and_long_cycle(spark):
         hierarchy.SIBLING_BLOCK = old
 
 
+@pytest.mark.parametrize("name", ["forest", "chains"])
+def test_rounds_give_what_one_task_gives(spark, monkeypatch, name):
+    """Peeling, doubling and list contraction over many rounds, with nearly nothing left to one task."""
+    monkeypatch.setattr(hierarchy, "ONE_TASK", 6)
+    monkeypatch.setattr(lineage, "ONE_TASK", 2)
+    monkeypatch.setattr(hierarchy, "PEEL_ROUNDS", 1)
+    random.seed(9)
+    if name == "forest":
+        rows = [(f"n{i}", random.choice([None, f"n{random.randint(0, 40)}"]), i) for i in range(40)]
+    else:
+        rows = [(f"c{i:02d}", f"c{i - 1:02d}" if i else None, 1) for i in range(25)] + [(f"r{i}", f"r{(i + 1) % 5}", 1) for i in range(5)] + [("t0", "r0", 1), ("t1", "t0", 1)]
+    check(spark, rows)
+    h = hierarchy.build_hierarchy(frame(spark, rows))
+    _, below = check(spark, rows, paths=False)
+    expected, _ = brute(rows)
+    got = {(r.session_id, r.descendant_id): r.distance for r in hierarchy.all_descendants(h).collect()}
+    assert got == {(i, j): expected[j][1] - expected[i][1] for i in below for j in below[i] if expected[i][1] >= 0}
+    up = {i: p for i, p, _ in rows}
+
+    def walked(i):
+        seen = [i]
+        while (p := up.get(seen[-1])) and p not in seen:
+            seen.append(p)
+        return min(seen) if p else seen[-1]
+
+    assert {r.session_id: r.lineage for r in lineage.lineage_roots(frame(spark, rows)).collect()} == {i: walked(i) for i in up}
+
+
+def test_stretches_make_up_every_interval(spark):
+    nodes = [(f"{a}-{b}", "t", 1, 1, a, b) for a in (0, 1, 5, 63, 64, 4095, 4097) for b in (a + 1, a + 2, a + 9, a + 70, a + 5000, a + 9000)]
+    df = spark.createDataFrame(nodes, "session_id string, root_id string, depth int, descendants int, entry bigint, exit bigint")
+    got = {}
+    for r in hierarchy._stretches(df).collect():
+        got.setdefault(r.session_id, []).extend(range(r.place * 8**r.step, (r.place + 1) * 8**r.step))
+    assert all(sorted(got.get(i, [])) == list(range(a + 1, b)) for i, *_, a, b in nodes)
+
+
 def test_empty_table(spark):
     assert hierarchy.build_hierarchy(frame(spark, [("a", None, 1)]).limit(0)).count() == 0
 
