@@ -101,7 +101,7 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The subjects of each document."""
-    return subjects.assign_subjects(table(spark, sf_dir, "documents"), table(spark, sf_dir, "subjects"))
+    return subjects.assign_subjects(table(spark, sf_dir, "documents"), table(spark, sf_dir, "subjects"), labels=table(spark, sf_dir, "doc_labels"))
 
 
 @query
