@@ -70,6 +70,20 @@ def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_oversized(table(spark, sf_dir, "fts_messages"))
 
 
+@query
+def p4_reassembled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The messages put together again from their pieces, whether all are within the limit and share what they should."""
+    cut = splitting.split_oversized(table(spark, sf_dir, "fts_messages"))
+    own = F.col("own_start") - F.col("start")
+    shared = splitting.utf16_units(F.expr("substring(text, 1, int(own_start - start))"))
+    right = (splitting.utf16_units(F.col("text")) <= splitting.LIMIT) & F.when(F.col("piece") == 0, own == 0).otherwise(shared.between(splitting.OVERLAP, splitting.OVERLAP + 1) | (F.col("start") == 0))
+    whole = cut.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("piece", F.expr("substring(text, int(own_start - start) + 1)").alias("own")))).alias("parts"), F.count("*").alias("pieces"), F.bool_and(right).alias("sound"))
+    return whole.select("id", F.md5(F.array_join(F.col("parts.own"), "")).alias("text_md5"), (F.col("pieces") > 1).alias("cut"), "sound")
+
+
+SQL["p4_reassembled"] = f"SELECT id, md5(text) AS text_md5, {UNITS.format('text')} > 4096 AS cut, true AS sound FROM fts_messages WHERE text <> ''"
+
+
 def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "model_windows").select(F.col("context_window").alias("capacity"))
 

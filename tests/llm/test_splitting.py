@@ -1,3 +1,5 @@
+import re
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -24,15 +26,39 @@ def test_pieces_cover_the_text_within_the_limit(text, limit, overlap):
 @given(st.lists(st.sampled_from(["word ", "more words. ", "line\n", "para\n\n", "x" * 30 + " "]), min_size=20, max_size=60))
 def test_cuts_follow_boundaries_and_none_can_be_merged(parts):
     text = "".join(parts)
-    at = sp.cuts(text, 60, 8)
-    ends = {e for e, _ in sp.atoms(text)}
+    at = sp.cuts(text, 60, 8)[0]
+    ends = {e for _, e, _ in sp.atoms(text)}
     assert all(c in ends for c in at[1:])
     assert all(c - a > 60 - 8 - 1 for a, c in zip(at, at[2:]))
 
 
 def test_paragraphs_are_kept_over_blanks():
     text = "aa bb cc dd\n\n" * 8
-    assert all(c % 13 == 0 for c in sp.cuts(text, 64, 8))
+    assert all(c % 13 == 0 for c in sp.cuts(text, 64, 8)[0])
+
+
+def one_heap(text, room):
+    """All atoms in one heap."""
+    segments, at = [], 0
+    for _, end, s in sp.atoms(text):
+        while sp.units(text[at:end]) > room:
+            stop = at
+            while sp.units(text[at : stop + 1]) <= room:
+                stop += 1
+            segments.append((stop, sp.units(text[at:stop]), sp.NONE))
+            at = stop
+        segments.append((end, sp.units(text[at:end]), s))
+        at = end
+    return [0] + [e for e, _, _ in sp._merge(segments, room)]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(["w ", "wo ", "end. ", "so! ", "line\n", "para\n\n", "cr\r\n\r\n", "x" * 50, "😀", "。"]), max_size=80))
+def test_parts_merged_as_read_equal_one_heap(parts):
+    text = "".join(parts)
+    at, longest = sp.cuts(text, 40, 6)
+    assert at == one_heap(text, 40 - 6 - 1)
+    assert longest == max(map(sp.units, re.split(r"[ \t\n.!?;。！？；]", text)))
 
 
 def test_table_with_dirty_rows(spark):
