@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 from bisect import bisect_left, insort
 
@@ -15,8 +16,6 @@ from strandline.runtime import materialize
 
 #: Tokens that are packed together; a shard loses at most the rounding to whole containers.
 SHARD_TOKENS = 2_000_000
-#: Capacities that one call may be given.
-MAX_CAPACITIES = 1000
 #: Part of the room that should be used before cost is balanced.
 LEAST_FILL = 0.99
 #: Cost of a sequence of n tokens of one text: LINEAR * n + n * n / QUADRATIC_SCALE.
@@ -29,19 +28,30 @@ def cost_of(sizes: np.ndarray) -> np.ndarray:
 
 
 def _place(sizes: np.ndarray, capacity: int, bins: int) -> np.ndarray:
-    """Container of each size (descending), opening another where none has room: the least cost among those with room."""
+    """Container of each size (descending), opening another where none has room: the least cost among those with room.
+
+    Containers lie in a heap by cost. One that is met without room for the size in hand is set aside by its room and comes back
+    when a size fits it, so each size costs a logarithm of the containers.
+    """
     bins = max(1, bins)
-    room = np.full(bins, capacity, np.int64)
-    cost = np.zeros(bins)
-    own = cost_of(sizes)
+    room = [capacity] * bins
+    cheapest = [(0.0, b) for b in range(bins)]
+    aside: list[tuple[int, float, int]] = []  # by room, largest first
     out = np.empty(len(sizes), np.int64)
-    for i, size in enumerate(sizes.tolist()):
-        b = int(np.argmin(np.where(room >= size, cost, np.inf)))
-        if room[b] < size:
-            room, cost = np.append(room, capacity), np.append(cost, 0.0)
-            b = len(room) - 1
+    for i, (size, own) in enumerate(zip(sizes.tolist(), cost_of(sizes).tolist())):
+        while aside and -aside[0][0] >= size:
+            _, cost, b = heapq.heappop(aside)
+            heapq.heappush(cheapest, (cost, b))
+        while cheapest and room[cheapest[0][1]] < size:
+            cost, b = heapq.heappop(cheapest)
+            heapq.heappush(aside, (-room[b], cost, b))
+        if cheapest:
+            cost, b = heapq.heappop(cheapest)
+        else:
+            cost, b = 0.0, len(room)
+            room.append(capacity)
         room[b] -= size
-        cost[b] += own[i]
+        heapq.heappush(cheapest, (cost + own, b))
         out[i] = b
     return out
 
@@ -125,20 +135,20 @@ def pack_texts(df: DataFrame, capacities: DataFrame, id_column: str = "doc_id",
     take no room and are left out, as are capacities that are null or below 1; repeated ids are texts of their own; other
     columns are ignored. container_id is unique within a capacity.
 
-    Texts are spread by a hash of their row into shards of about SHARD_TOKENS tokens; each is packed by itself, so the largest task
+    Texts are spread by a hash of id and text into shards of about SHARD_TOKENS tokens; each is packed by itself, so the largest task
     is bounded whatever the corpus. Only sizes are shuffled.
     """
-    spark = df.sparkSession
-    sizes = materialize(token_counts(df, id_column, text_column, tokenizer).where("n_tokens > 0").withColumn("row", F.monotonically_increasing_id()), "sizes")
-    total = sizes.agg(F.sum("n_tokens")).head()[0] or 0
+    keyed = df.select(F.col(id_column), F.col(text_column), F.xxhash64(F.col(id_column), F.col(text_column)).alias("_hash"))
+    counts = token_counts(keyed, id_column, text_column, tokenizer, ("_hash",)).where("n_tokens > 0").withColumn("row", F.monotonically_increasing_id())
+    sizes = materialize(counts, "sizes", observed={"total": F.sum("n_tokens")})
+    total = sizes._strandline_observed["total"] or 0  # noqa: SLF001
     shards = max(1, math.ceil(total / SHARD_TOKENS))
     wanted = capacities.select(F.col("capacity").cast("long").alias("capacity")).where("capacity > 0").distinct()
     id_type = sizes.schema["id"].dataType.simpleString()
-    spread = sizes.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("long"))
-    caps = [r[0] for r in wanted.limit(MAX_CAPACITIES + 1).collect()]
-    if len(caps) > MAX_CAPACITIES:
-        raise ValueError(f"more than {MAX_CAPACITIES} capacities")
-    rows = spread.withColumn("capacity", F.explode(F.array(*(F.lit(c) for c in sorted(caps))).cast("array<bigint>")))
+    spread = sizes.withColumn("shard", F.pmod("_hash", F.lit(shards)).cast("long"))
+    # each shard meets the list of capacities; the list of any length is one row a shard, which Spark broadcasts by its size
+    listed = wanted.agg(F.sort_array(F.collect_list("capacity")).alias("listed")).select("listed", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"))
+    rows = spread.join(listed, "shard").withColumn("capacity", F.explode("listed")).drop("listed")
     full = F.expr("n_tokens div capacity")
     cut = F.when(F.col("n_tokens") > F.col("capacity"), full).otherwise(0)
     rows = rows.withColumn("cut", cut)

@@ -100,6 +100,22 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_report(p7_packed(spark, sf_dir))
 
 
+@query
+def p7_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each window: documents placed, containers over it, documents divided though they fit, documents with parts missing or twice."""
+    packed = p7_packed(spark, sf_dir)
+    docs = packed.groupBy("capacity", "id").agg(F.count("*").alias("parts"), F.sum(F.col("token_end") - F.col("token_start")).alias("tokens"), F.max("token_end").alias("last"), F.count_distinct("token_start").alias("starts"))
+    wrong = (F.col("tokens") != F.col("last")) | (F.col("starts") != F.col("parts"))
+    by_doc = docs.groupBy("capacity").agg(F.count("*").alias("documents"), F.count_if((F.col("parts") > 1) & (F.col("last") <= F.col("capacity"))).alias("divided"), F.count_if(wrong).alias("incomplete"))
+    filled = packed.groupBy("capacity", "container_id").agg(F.sum(F.col("token_end") - F.col("token_start")).alias("tokens"))
+    over = filled.groupBy("capacity").agg(F.count_if(F.col("tokens") > F.col("capacity")).alias("overfull"))
+    return by_doc.join(over, "capacity").select("capacity", "documents", "divided", "incomplete", "overfull")
+
+
+SQL["p7_sums"] = """SELECT CAST(w.capacity AS BIGINT) AS capacity, CAST(d.n AS BIGINT) AS documents, CAST(0 AS BIGINT) AS divided, CAST(0 AS BIGINT) AS incomplete, CAST(0 AS BIGINT) AS overfull
+  FROM (SELECT DISTINCT context_window AS capacity FROM model_windows WHERE context_window > 0) w, (SELECT count(*) AS n FROM documents WHERE text <> '') d"""
+
+
 @query
 def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents of each mix and how often each is used for which source."""

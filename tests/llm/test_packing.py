@@ -21,6 +21,34 @@ def test_pack_holds_all_within_capacity(sizes, capacity):
     assert len(used) <= max(1, math.ceil(1.5 * sizes.sum() / capacity) + 1)
 
 
+def scan(sizes, capacity, bins):
+    """The cheapest container with room by looking at all."""
+    room, cost, out = [capacity] * max(1, bins), [0.0] * max(1, bins), []
+    for size, own in zip(sizes.tolist(), pk.cost_of(sizes).tolist()):
+        able = [b for b in range(len(room)) if room[b] >= size]
+        b = min(able, key=lambda b: (cost[b], b)) if able else len(room)
+        if not able:
+            room.append(capacity)
+            cost.append(0.0)
+        room[b] -= size
+        cost[b] += own
+        out.append(b)
+    return out
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 50), max_size=60), st.integers(50, 120), st.integers(0, 20))
+def test_heap_finds_the_cheapest_container(sizes, capacity, bins):
+    sizes = np.array(sorted(sizes, reverse=True), np.int64)
+    assert pk._place(sizes, capacity, bins).tolist() == scan(sizes, capacity, bins)
+
+
+def test_any_number_of_capacities(spark):
+    df = spark.createDataFrame([(1, "a b c d e", 0, "x"), (2, "f g", 0, "x")], SCHEMA)
+    caps = spark.range(1, 1501).selectExpr("id as capacity")
+    assert pk.pack_texts(df, caps).select("capacity").distinct().count() == 1500
+
+
 def test_fill_and_balance():
     rng = np.random.default_rng(3)
     sizes = np.minimum(rng.lognormal(5, 1, 5000).astype(np.int64) + 1, 1024)
