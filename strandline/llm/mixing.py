@@ -6,6 +6,7 @@ import hashlib
 import heapq
 import math
 from collections import defaultdict
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,8 +16,8 @@ from strandline.runtime import materialize
 
 #: Membership patterns whose segments are broadcast; those of the others are joined by shuffle, with the same result.
 MAX_PATTERNS = 4096
-#: Rows of targets that one call may be given.
-MAX_TARGETS = 10_000
+#: The largest mix is searched for to this part of its size.
+TOLERANCE = 1e-5
 #: Stretches of the seeded order whose token sums are taken before any exact running sum.
 STRETCHES = 4096
 
@@ -169,7 +170,7 @@ def route(patterns: dict[tuple[str, ...], int], targets: dict[str, tuple[float,
                 low = mid
             else:
                 high = mid - 1
-            if high - low <= max(1, high // 100_000):
+            if high - low <= max(1, int(high * TOLERANCE)):
                 break
         total = low
     net, links, _ = build(total)
@@ -177,6 +178,60 @@ def route(patterns: dict[tuple[str, ...], int], targets: dict[str, tuple[float,
     return total, {key: net.used(e) for key, e in links.items() if net.used(e)}
 
 
+def settle(cuts: list[tuple[str, int, int]], straddling: dict[int, tuple[int, int]], over: dict[str, int], held: dict[str, int]) -> list[tuple[str, int, int]]:
+    """The cuts (source, from, to) of one pattern's tokens, moved to the edges of the documents that they fall into.
+
+    straddling gives for each position of a cut the (start, end) of the document there, where it isn't an edge. Such a document
+    goes whole to one of the sources whose stretch it overlaps, or behind the last cut to none: the one that lacks most after
+    it, largest documents first. over has each source's tokens beyond its quota so far and held its tokens, and both are carried on.
+    """
+    shares: dict[tuple[int, int], dict[int | None, int]] = defaultdict(dict)
+    for i, (_, lo, hi) in enumerate(cuts):
+        for at in (lo, hi):
+            if at in straddling:
+                a, b = straddling[at]
+                shares[a, b][i] = min(hi, b) - max(lo, a)
+    inner = {i: hi - lo for i, (_, lo, hi) in enumerate(cuts)}
+    for (a, b), parts in shares.items():
+        for i, n in parts.items():
+            inner[i] -= n
+            over[cuts[i][0]] -= n
+        if sum(parts.values()) < b - a:
+            parts[None] = 0
+    for i, n in inner.items():
+        held[cuts[i][0]] += n
+    owner: dict[tuple[int, int], int | None] = {}
+    for (a, b), parts in sorted(shares.items(), key=lambda x: (x[0][0] - x[0][1], x[0])):
+        miss = lambda i, n=b - a: 0 if i is None else abs(over[cuts[i][0]] + n) - abs(over[cuts[i][0]])
+        best = min(parts, key=lambda i: (miss(i), i is None, i or 0))
+        owner[a, b] = best
+        if best is not None:
+            over[cuts[best][0]] += b - a
+            held[cuts[best][0]] += b - a
+    for i, (source, _, _) in enumerate(cuts):  # nobody with a quota goes away empty where a document can be had
+        if held[source] <= 0:
+            able = [(b - a, a, b) for (a, b), parts in shares.items() if i in parts and (owner[a, b] is None or held[cuts[owner[a, b]][0]] > b - a)]
+            if able:
+                n, a, b = min(able)
+                if owner[a, b] is not None:
+                    over[cuts[owner[a, b]][0]] -= n
+                    held[cuts[owner[a, b]][0]] -= n
+                owner[a, b] = i
+                over[source] += n
+                held[source] += n
+
+    def edge(at: int, before: bool, i: int) -> int:
+        """Where a stretch begins (before) or ends: the document at that cut is inside if the stretch owns it, or one beyond its other end does."""
+        if at not in straddling:
+            return at
+        a, b = straddling[at]
+        who = owner[a, b]
+        behind = len(cuts) if who is None else who
+        return (a if behind >= i else b) if before else (b if behind <= i else a)
+
+    return [(s, edge(lo, True, i), edge(hi, False, i)) for i, (s, lo, hi) in enumerate(cuts)]
+
+
 def mix_sources(df: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, seed: int = 42, total: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(selection, report) of the mixes in targets (mix, source, target_share, max_repeats) from documents (doc_id, text, source).
 
@@ -186,33 +241,32 @@ def mix_sources(df: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, s
     Sources are compared by source_key. Equal texts are one text, which belongs to every source it appears under; its copy with
     the smallest doc_id stands for it. Texts without a source in the mix, null or empty ones aren't used. A text is used for a
     source at most max_repeats times. Without `total` a mix is as large as the shares of the sources
-    that have texts allow; a source without any is reported with a share of 0. Targets whose mix or source is
+    that have texts allow (to TOLERANCE); a source without any is reported with a share of 0. Targets whose mix or source is
     null, or whose share or repeats aren't above 0, get nothing. Extra columns are ignored.
 
-    Token sums by membership pattern are all that the driver sees: a row for each set of sources under which texts appear, however
-    many there are. For each mix, patterns that agree in the mix's own sources are one in its flow. Documents are then selected in
-    a seeded order: a document stands at its place in the running sum of tokens of its pattern, and that sum is taken over
-    STRETCHES of the order first, exactly only within each; patterns that are one in a mix follow each other in a seeded order.
+    Token sums by membership pattern are all that the driver sees, and one document for each end of a stretch: a row for each set
+    of sources under which texts appear, however many there are. For each mix, patterns that agree in the mix's own sources are
+    one in its flow. Documents are then selected in a seeded order: a document stands at its place in the running sum of tokens
+    of its pattern, and that sum is taken over STRETCHES of the order first, exactly only within each; patterns that are one in a
+    mix follow each other in a seeded order. The flow's stretches are moved to the edges of documents so that what one source
+    gets too much by another has too little (see settle): a share misses by less than a document.
     """
+    spark = df.sparkSession
     goals = targets.select(F.col("mix").cast("string").alias("mix"), source_key(F.col("source").cast("string")).alias("source"), F.col("target_share").cast("double").alias("share"), F.col("max_repeats").cast("int").alias("repeats"))
-    goals = goals.where("mix is not null and source is not null and share > 0 and repeats > 0").groupBy("mix", "source").agg(F.sum("share").alias("share"), F.max("repeats").alias("repeats"))
-    listed = goals.limit(MAX_TARGETS + 1).collect()
-    if len(listed) > MAX_TARGETS:
-        raise ValueError(f"more than {MAX_TARGETS} targets")
-    wanted: dict[str, dict[str, tuple[float, int]]] = defaultdict(dict)
-    for r in listed:
-        wanted[r["mix"]][r["source"]] = (r["share"], r["repeats"])
+    goals = materialize(goals.where("mix is not null and source is not null and share > 0 and repeats > 0").groupBy("mix", "source").agg(F.sum("share").alias("share"), F.max("repeats").alias("repeats")), "goals")
+    known = goals.select("source").distinct().withColumn("known", F.lit(True))
     source = source_key(F.col("source").cast("string"))
-    named = F.when(source.isin(sorted({s for g in wanted.values() for s in g})), source)  # so a text's set of sources is bounded by the targets
-    keyed = df.where(F.octet_length(F.col("text").cast("string")) > 0).select("doc_id", F.col("text").cast("string").alias("text"), named.alias("source"))
+    keyed = df.where(F.octet_length(F.col("text").cast("string")) > 0).select("doc_id", F.col("text").cast("string").alias("text"), source.alias("source"))
     sized = token_counts(keyed.withColumn("digest", F.sha2("text", 256)), "doc_id", "text", tokenizer, ("source", "digest"))
+    sized = sized.join(known, "source", "left").withColumn("source", F.when(F.col("known"), F.col("source")))  # so a text's set of sources is bounded by the targets
     texts = sized.groupBy("digest").agg(F.min("id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sort_array(F.collect_set("source")).alias("sources"))
     texts = materialize(texts.where(F.size("sources") > 0), "texts")
     sums = texts.groupBy("sources").agg(F.sum("n_tokens").alias("n"))
     patterns = {tuple(r["sources"]): r["n"] for r in sums.collect()}
     shuffled = sorted(patterns, key=lambda p: hashlib.md5(f"{seed} {p}".encode()).digest())
-    plan = []  # mix, pattern, source, size, base, from, to: stretches of the tokens of patterns, laid end to end over their repetitions
-    for mix, goal in sorted(wanted.items()):
+    flows = []  # for each mix: its alike patterns with sizes, and the cuts of their tokens, laid end to end over their repetitions
+    for mix, rows in groupby(goals.orderBy("mix", "source").toLocalIterator(), key=lambda r: r["mix"]):
+        goal = {r["source"]: (r["share"], r["repeats"]) for r in rows}
         alike: dict[tuple, list[tuple]] = defaultdict(list)
         for pattern in shuffled:
             if own := tuple(s for s in pattern if s in goal):
@@ -223,7 +277,14 @@ def mix_sources(df: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, s
         for (own, source), tokens in sorted(routed.items()):
             lo = cuts[own][-1][2] if cuts[own] else 0
             cuts[own].append((source, lo, lo + tokens))
-        for own, parts in cuts.items():
+        flows.append((mix, alike, sizes, cuts))
+    placed = materialize(_running(texts, seed), "placed")
+    found = _documents_at(placed, patterns, flows)
+    plan = []  # mix, pattern, source, size, base, from, to
+    for m, (mix, alike, sizes, cuts) in enumerate(flows):
+        over, held = defaultdict(int), defaultdict(int)
+        settled = {own: settle(parts, found[m, own], over, held) for own, parts in sorted(cuts.items(), key=lambda x: (-sizes[x[0]], x[0]))}
+        for own, parts in settled.items():
             size, base = sizes[own], 0
             for pattern in alike[own]:
                 n = patterns[pattern]
@@ -231,10 +292,8 @@ def mix_sources(df: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, s
                     if max(0, (lo - base - n) // size + 1) * size + base < hi:  # the first repetition of the pattern that ends beyond lo
                         plan.append((mix, list(pattern), source, size, base, lo, hi))
                 base += n
-    spark = df.sparkSession
     kind = "mix string, sources array<string>, source string, size bigint, base bigint, lo bigint, hi bigint"
     large = set(sorted(patterns, key=lambda p: (-patterns[p], p))[:MAX_PATTERNS])
-    placed = _running(texts, seed)
     joined = placed.join(F.broadcast(spark.createDataFrame([r for r in plan if tuple(r[1]) in large], kind)), "sources")
     if len(patterns) > MAX_PATTERNS:  # none of the others holds more than a small part of the texts
         joined = joined.unionByName(placed.join(spark.createDataFrame([r for r in plan if tuple(r[1]) not in large], kind).hint("merge"), "sources"))
@@ -252,6 +311,28 @@ def mix_sources(df: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, s
     return chosen.drop("n_tokens"), report
 
 
+def _documents_at(placed: DataFrame, patterns: dict[tuple, int], flows: list) -> dict[tuple[int, tuple], dict[int, tuple[int, int]]]:
+    """For each mix and set of alike patterns: {position of a cut: (start, end) of the document it falls into}, edges left out."""
+    wanted = []
+    for m, (_, alike, sizes, cuts) in enumerate(flows):
+        for own, parts in cuts.items():
+            for at in {x for _, lo, hi in parts for x in (lo, hi)}:
+                base = 0
+                for pattern in alike[own]:
+                    if base < at % sizes[own] < base + patterns[pattern]:
+                        wanted.append((m, list(own), at, list(pattern), at % sizes[own] - base))
+                    base += patterns[pattern]
+    out: dict[tuple[int, tuple], dict[int, tuple[int, int]]] = defaultdict(dict)
+    if not wanted:
+        return out
+    asked = placed.sparkSession.createDataFrame(wanted, "m int, own array<string>, at bigint, sources array<string>, inside bigint")
+    hit = placed.join(asked, "sources").where("place < inside and inside < place + n_tokens").select("m", "own", "at", "inside", "place", "n_tokens")
+    for r in hit.collect():
+        start = r["at"] - r["inside"] + r["place"]
+        out[r["m"], tuple(r["own"])][r["at"]] = (start, start + r["n_tokens"])
+    return out
+
+
 def _running(texts: DataFrame, seed: int) -> DataFrame:
     """texts with place: tokens of the pattern's texts before this one in the seeded order."""
     u = F.pmod(F.xxhash64(F.lit(seed), "digest"), F.lit(1 << 40))

@@ -128,6 +128,22 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
 
 
+@query
+def p8_sound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each mix: targets reported, uses beyond the most repeats, uses of a text that its source doesn't have."""
+    docs, targets = table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")
+    chosen, report = mixing.mix_sources(docs, targets)
+    keyed = targets.select("mix", mixing.source_key(F.col("source")).alias("source"), "max_repeats")
+    digest = F.sha2("text", 256)
+    texts = docs.where("text <> ''").select(mixing.source_key(F.col("source")).alias("source"), digest.alias("digest")).distinct().withColumn("own", F.lit(True))
+    used = chosen.join(docs.select("doc_id", digest.alias("digest")), "doc_id").join(keyed, ["mix", "source"], "left").join(texts, ["source", "digest"], "left")
+    found = used.groupBy("mix").agg(F.count_if(F.col("copies") > F.coalesce("max_repeats", F.lit(0))).alias("over_repeats"), F.count_if(F.col("own").isNull()).alias("foreign_texts"))
+    return report.groupBy("mix").agg(F.count("*").alias("targets")).join(found, "mix", "left").select("mix", "targets", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("over_repeats", "foreign_texts")))
+
+
+SQL["p8_sound"] = "SELECT mix, CAST(count(*) AS BIGINT) AS targets, CAST(0 AS BIGINT) AS over_repeats, CAST(0 AS BIGINT) AS foreign_texts FROM mix_targets GROUP BY mix"
+
+
 @query
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The subjects of each document."""

@@ -1,6 +1,9 @@
 import random
+from collections import defaultdict
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from strandline.llm import mixing as mx
 
@@ -110,3 +113,25 @@ def test_an_absent_source_leaves_the_others(spark):
     goals = spark.createDataFrame([("m", "x", 0.25, 1, ""), ("m", "y", 0.25, 1, ""), ("m", "gone", 0.5, 4, "")], GOALS)
     got = {r.source: r for r in mx.mix_sources(df, goals)[1].collect()}
     assert got["x"].documents == got["y"].documents == 20 and got["gone"].actual_share == 0 and got["gone"].target_share == 0.5
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(1, 30), min_size=1, max_size=12), st.lists(st.integers(0, 60), min_size=1, max_size=4), st.integers(1, 2))
+def test_settled_cuts_lie_on_edges_and_miss_by_less_than_a_document(sizes, quotas, repeats):
+    total = sum(sizes) * repeats
+    edges = [0]
+    for n in sizes * repeats:
+        edges.append(edges[-1] + n)
+    cuts, at = [], 0
+    for i, q in enumerate(quotas):
+        if at + q <= total and q:
+            cuts.append((f"s{i}", at, at + q))
+            at += q
+    straddling = {x: next((a, b) for a, b in zip(edges, edges[1:]) if a < x < b) for _, lo, hi in cuts for x in (lo, hi) if x not in edges}
+    over, held = defaultdict(int), defaultdict(int)
+    out = mx.settle(cuts, straddling, over, held)
+    assert [s for s, _, _ in out] == [s for s, _, _ in cuts]
+    assert all(lo in edges and hi in edges and lo <= hi for _, lo, hi in out)
+    assert all(b[1] >= a[2] for a, b in zip(out, out[1:]))
+    for (s, a, b), (_, lo, hi) in zip(cuts, out):
+        assert held[s] == hi - lo and over[s] == (hi - lo) - (b - a) and abs(over[s]) < 2 * max(sizes)
