@@ -5,23 +5,27 @@ from __future__ import annotations
 import json
 import time
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandline.operators.listing import retained
 
-KEPT_VERSIONS = 2
+#: Buckets that a table's files are kept in, by a hash of the log file: an upsert rewrites the buckets that it touches.
+BUCKETS = 16
 
 
 class SnapshotStore:
-    """Tables under root/v<N>/<table>; the file root/_CURRENT names the version that readers see.
+    """Tables under root/v<N>/<table>/bucket=<b>; the file root/_CURRENT names the folders that make up the snapshot in force.
 
-    A version is written whole, read back and counted before the pointer is renamed over, so readers have one version of all
-    tables or the other. Writers are few (one publish at a time per root, as a streaming query is); readers need no lock.
+    A version holds the buckets that were rewritten for it; all others stay where they are. It is written whole, read back and
+    counted before the pointer is renamed over, so readers have one snapshot of all tables or the other; tables that a version
+    doesn't give are carried over. Folders that neither the current nor the last snapshot names are deleted. Writers are few (one
+    publish at a time per root, as a follower is); readers need no lock.
     """
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
+        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
         self._path = spark._jvm.org.apache.hadoop.fs.Path  # noqa: SLF001
         self.fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())  # noqa: SLF001
 
@@ -41,7 +45,7 @@ class SnapshotStore:
         stream.write(bytearray(text.encode()))
         stream.hsync()
         stream.close()
-        context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri() if False else self.fs.getUri(), self.spark._jsc.hadoopConfiguration())  # noqa: SLF001
+        context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), self.spark._jsc.hadoopConfiguration())  # noqa: SLF001
         overwrite = self.spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE  # noqa: SLF001
         gateway = self.spark.sparkContext._gateway  # noqa: SLF001
         flags = gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)  # noqa: SLF001
@@ -49,29 +53,58 @@ class SnapshotStore:
         context.rename(temp, target, flags)
 
     def current(self) -> dict:
-        """{version, tables, batch, state} of the snapshot in force; version 0 has no tables."""
+        """{version, tables, parts, schemas, batch, state} of the snapshot in force; version 0 has no tables."""
         text = self._text(f"{self.root}/_CURRENT")
-        return json.loads(text) if text else {"version": 0, "tables": {}, "batch": -1, "state": {}}
+        return json.loads(text) if text else {"version": 0, "tables": {}, "parts": {}, "schemas": {}, "batch": -1, "state": {}, "last": []}
 
-    def read(self, name: str) -> DataFrame | None:
+    def read(self, name: str, buckets: set[int] | None = None) -> DataFrame | None:
+        """A table of the snapshot in force, or only some of its buckets; None where there is no such table."""
         now = self.current()
-        return self.spark.read.parquet(f"{self.root}/v{now['version']}/{name}") if name in now["tables"] else None
+        if name not in now["tables"]:
+            return None
+        schema = T.StructType.fromJson(now["schemas"][name])
+        paths = [f"{self.root}/v{v}/{name}/bucket={b}" for b, (v, _) in now["parts"][name].items() if buckets is None or int(b) in buckets]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def _bucket(self, df: DataFrame) -> Column:
+        key = next((c for c in ("session_file", "file") if c in df.columns), None)
+        return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int") if key else F.lit(0)
 
     def publish(self, tables: dict[str, DataFrame], batch: int | None = None, state: dict | None = None) -> dict:
-        """Write all tables as the next version and make it current. A batch at or before the current one is already in: no change."""
+        """Make these tables, whole, part of the next snapshot. A batch at or before the current one is already in: no change."""
+        return self._publish({name: (df, None) for name, df in tables.items()}, batch, state)
+
+    def upsert(self, tables: dict[str, tuple[DataFrame, DataFrame]], batch: int | None = None, state: dict | None = None) -> dict:
+        """For each table (rows, files): take out what it holds of those files (column file) and put in the rows."""
+        return self._publish(tables, batch, state)
+
+    def _publish(self, tables: dict[str, tuple[DataFrame, DataFrame | None]], batch: int | None, state: dict | None) -> dict:
         now = self.current()
         if batch is not None and batch <= now["batch"]:
             return now
         version = now["version"] + 1
         base = f"{self.root}/v{version}"
         self.fs.delete(self._path(base), True)
-        counts = {}
-        for name, df in tables.items():
-            df.write.parquet(f"{base}/{name}")
-            counts[name] = self.spark.read.schema(df.schema).parquet(f"{base}/{name}").count()
-        after = {"version": version, "tables": counts, "batch": now["batch"] if batch is None else batch, "state": now["state"] | (state or {}) | {"published_ms": int(time.time() * 1000)}}
+        parts, schemas = {n: dict(p) for n, p in now["parts"].items()}, dict(now["schemas"])
+        for name, (df, files) in tables.items():
+            touched = None
+            if files is not None and name in now["tables"]:
+                key = next(c for c in ("session_file", "file") if c in df.columns)
+                files = files.select(F.col("file").alias(key)).distinct()
+                touched = {r[0] for r in files.select(self._bucket(files)).union(df.select(self._bucket(df))).distinct().collect()}
+                old = self.read(name, touched)
+                df = old.join(files, key, "left_anti").unionByName(df, allowMissingColumns=True)
+            df.withColumn("bucket", self._bucket(df)).write.partitionBy("bucket").parquet(f"{base}/{name}")
+            written = self.spark.read.schema(T.StructType([*df.schema.fields, T.StructField("bucket", T.IntegerType())])).parquet(f"{base}/{name}")
+            fresh = {str(r["bucket"]): [version, r["count"]] for r in written.groupBy("bucket").count().collect()}
+            kept = {b: p for b, p in parts.get(name, {}).items() if touched is not None and int(b) not in touched}
+            parts[name], schemas[name] = kept | fresh, df.schema.jsonValue()
+        counts = {name: sum(n for _, n in p.values()) for name, p in parts.items()}
+        used = sorted({v for p in now["parts"].values() for v, _ in p.values()})
+        after = {"version": version, "tables": counts, "parts": parts, "schemas": schemas, "batch": now["batch"] if batch is None else batch, "state": now["state"] | (state or {}) | {"published_ms": int(time.time() * 1000)}, "last": used}
         self._replace(f"{self.root}/_CURRENT", json.dumps(after))
-        for old in range(max(1, version - KEPT_VERSIONS - 3), version - KEPT_VERSIONS + 1):
+        named = {v for p in parts.values() for v, _ in p.values()} | set(used)
+        for old in set(now["last"]) - named:
             self.fs.delete(self._path(f"{self.root}/v{old}"), True)
         return after
 
@@ -144,8 +177,9 @@ def prune(store: SnapshotStore, now_ms: int, days: int) -> int:
     kept = retained(sessions, now_ms, days)
     gone = sessions.count() - kept.count()
     if gone:
-        tables = {n: store.read(n) for n in store.current()["tables"]}
-        tables["sessions"] = kept
+        tables = {"sessions": kept}
+        for name in {"checkpoints", "folds"} & store.current()["tables"].keys():
+            tables[name] = store.read(name).join(kept.select("file"), "file", "left_semi")
         if messages is not None:
             tables["messages"] = messages.join(kept.select(F.col("file").alias("session_file")), "session_file", "left_semi")
         store.publish(tables, state={"last_prune": now_ms, "last_prune_count": gone})

@@ -189,9 +189,10 @@ def test_stream_of_appends_equals_a_rebuild(spark, tmp_path):
     root, store = str(tmp_path / "logs"), SnapshotStore(spark, f"file://{tmp_path}/store")
     path = f"{root}/s/session.v3.jsonl.zstd"
 
+    opened = []
+
     def run():
-        q = ingest.follow(spark, root, store, f"file://{tmp_path}/checkpoint", {"availableNow": True})
-        q.awaitTermination()
+        opened.append(ingest.Follower(spark, root, store).step())
 
     write(path, pack(header(), user(0, "one")))
     run()
@@ -199,13 +200,74 @@ def test_stream_of_appends_equals_a_rebuild(spark, tmp_path):
     write(path, pack(reply(1, "two")), last[: len(last) // 2], mode="ab")
     run()  # the frame under way waits
     assert sorted(r.text for r in store.read("messages").collect()) == ["one", "two"]
+    whole = os.path.getsize(path) + len(last) - len(last) // 2
     write(path, last[len(last) // 2 :], mode="ab")
     run()
+    assert [(r["delta"], r["reread"]) for r in opened] == [(0, 0), (1, 0), (1, 0)] and opened[2]["bytes"] < whole
     streamed = [r.text for r in store.read("messages").collect()]
     rebuilt = SnapshotStore(spark, f"file://{tmp_path}/other")
     ingest.build(spark, root, rebuilt)
     assert streamed == [r.text for r in rebuilt.read("messages").collect()] == ["both"]
-    assert store.publish({}, batch=0) == store.current()  # a batch that is in changes nothing
+    version = store.publish({}, batch=3)["version"]
+    assert store.publish({}, batch=3)["version"] == version  # a batch that is in changes nothing
+    assert store.read("checkpoints").count() == 1  # tables that a version doesn't give are carried over
+
+
+def test_a_rewritten_log_is_read_whole(spark, tmp_path):
+    root, store = str(tmp_path / "logs"), SnapshotStore(spark, f"file://{tmp_path}/store")
+    path = f"{root}/s/session.v3.jsonl.zstd"
+    write(path, pack(header(), user(0, "one")))
+    assert ingest.quick(spark, root, store) == {"listed": 1} and store.read("sessions").head().detail_missing and store.read("messages") is None
+    assert ingest.build(spark, root, store)["updated"] == 1 and not store.read("sessions").head().detail_missing
+    write(path, pack(header(id="other"), user(0, "new text that is longer"), reply(1, "and a reply to it")))
+    r = ingest.build(spark, root, store)
+    assert r["reread"] == 1, str(r)
+    assert sorted(x.text for x in store.read("messages").collect()) == ["and a reply to it", "new text that is longer"]
+    assert store.current()["state"]["report"] == r
+    write(f"{root}/t/session.v3.jsonl.zstd", pack(header(), user(1, "gap")))
+    r = ingest.build(spark, root, store)
+    bad = store.read("failures").collect()
+    assert (r["failed"], r["raced"], r["bytes"]) == (1, 0, os.path.getsize(f"{root}/t/session.v3.jsonl.zstd")) and [(b.error_code, b.error_phase, b.retryable) for b in bad] == [("sequence_mismatch", "compatibility", False)]
+
+
+def test_an_upsert_rewrites_touched_buckets_only(spark, tmp_path):
+    store = SnapshotStore(spark, f"file://{tmp_path}/store", buckets=8)
+    df = spark.range(40).selectExpr("concat('f', id) as file", "id as n")
+    store.publish({"t": df})
+    one = spark.createDataFrame([("f3", 99)], "file string, n bigint")
+    now = store.upsert({"t": (one, one.select("file"))})
+    assert sum(v == 2 for v, _ in now["parts"]["t"].values()) == 1 and now["tables"]["t"] == 40
+    assert {r.file: r.n for r in store.read("t").collect()}["f3"] == 99
+    store.upsert({"t": (one.limit(0), df.select("file"))})
+    assert store.read("t").count() == 0 and store.read("none") is None
+
+
+def test_stream_source_reads_tails(spark, tmp_path):
+    root, path = str(tmp_path / "logs"), f"{tmp_path}/logs/s/session.v3.jsonl.zstd"
+    logs.register(spark)
+
+    def run():
+        q = spark.readStream.format("session_logs").load(root).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+        q.awaitTermination()
+        return [json.loads(r.line).get("seq", -1) for r in spark.read.parquet(f"{tmp_path}/out").orderBy("line_no").collect()]
+
+    last = pack(user(1, "two"))
+    write(path, pack(header(), user(0, "one")), last[: len(last) // 2])
+    assert run() == [-1, 0]
+    write(path, last[len(last) // 2 :], pack(user(2, "three")), mode="ab")
+    assert run() == [-1, 0, 1, 2]
+    scan, errors = logs.list_logs(spark, root)
+    assert [r.file for r in scan.collect()] == [path] and errors.count() == 0 and logs.list_logs(spark, f"{root}/none")[1].count() == 1
+    many = pack(header(), *(user(i, "x" * 2000) for i in range(900)))
+    write(path, *[many] * 1, *(pack(user(900 + i, os.urandom(3000).hex())) for i in range(300)))
+    part = logs.LogPart(path, os.path.getsize(path), 0.0, 0.0, head=5)
+    assert len(list(logs.read_part(part))) == 5 and len(logs._head_bytes(part, 4096)) < os.path.getsize(path) / 2
+
+
+def test_vendor_types_are_given_exactly():
+    odd = {"type": "web/some-search", "seq": 0, "time": 1, "data": {}}
+    assert not folded(header(), odd)[0]["ok"] and folded(header(), odd, extra_types=frozenset({"web/some-search"}))[0]["ok"]
+    assert not folded(header(), {**odd, "type": "web/other-search"}, extra_types=frozenset({"web/some-search"}))[0]["ok"]
 
 
 def test_stale_and_orphaned_files(spark):
