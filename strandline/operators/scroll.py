@@ -54,6 +54,19 @@ def bookends(messages: DataFrame, file: str) -> DataFrame:
     return _shown(start.unionByName(end), "side").orderBy(F.col("side").desc(), *_order())
 
 
+def bookends_of_all(messages: DataFrame) -> DataFrame:
+    """(session_file, side, place, id): the first and the last BOOKENDS messages of every file; place counts from its end.
+
+    Each task keeps a file's first few before the shuffle, so a hot file costs no more than any other.
+    """
+    seq, number = _order()
+    sides = []
+    for side, order in (("start", (seq.asc(), number.asc())), ("end", (seq.desc(), number.desc()))):
+        ranked = messages.select("session_file", "id", "event_seq", F.row_number().over(Window.partitionBy("session_file").orderBy(*order)).alias("place"))
+        sides.append(ranked.where(F.col("place") <= BOOKENDS).select("session_file", F.lit(side).alias("side"), F.col("place").cast("long").alias("place"), "id"))
+    return sides[0].unionByName(sides[1])
+
+
 def legacy_anchor(messages: DataFrame, sessions: DataFrame, session_id: str, row: int) -> dict:
     """Anchor and evidence that a row number has now. It alone proves nothing about what an old bookmark meant, so the
     bookmark's own evidence has to agree."""

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import text as tx
 from strandline.functions.text import Query, parse_query
+from strandline.runtime import counted, materialize
 
 #: Fixed values of the evidence score.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -82,37 +84,52 @@ def _trigrams() -> Column:
     return F.greatest(F.char_length("text") - 2, F.lit(0)) + F.greatest(F.char_length("tool_name") - 2, F.lit(0))
 
 
+def term_hits(pieces: DataFrame, query: Query, statistics: dict | None = None) -> tuple[DataFrame, dict]:
+    """(chunks that hold any term: message_id, size, tf0, tf1, ...; their statistics: chunks, mean length, chunks by term).
+
+    The texts are read once: what is counted over all chunks is observed while the hits are written.
+    """
+    tf = [F.col(f"tf{i}") for i in range(len(query.terms))]
+    rows = pieces.select("message_id", _trigrams().alias("size"), *((occurrences(F.col("text"), t) + occurrences(F.col("tool_name"), t)).alias(f"tf{i}") for i, t in enumerate(query.lowered)))
+    seen = Observation()
+    observed = rows.observe(seen, F.count(F.lit(1)).alias("n"), F.avg("size").alias("mean"), *(F.count_if(c > 0).alias(f"n{i}") for i, c in enumerate(tf)))
+    found = materialize(observed.where(F.greatest(*tf, F.lit(0)) > 0), "hits")
+    return found, dict(seen.get) | (statistics or {})
+
+
 def message_evidence(pieces: DataFrame, query: Query, statistics: dict | None = None) -> DataFrame:
-    """(message_id, rank): the best, i.e. least, bm25 over a message's chunks that hold any term."""
-    stats = statistics or chunk_statistics(pieces)
-    counted = pieces.select("message_id", _trigrams().alias("size"), *((occurrences(F.col("text"), t) + occurrences(F.col("tool_name"), t)).alias(f"tf{i}") for i, t in enumerate(query.lowered)))
-    found = counted.where(F.greatest(*(F.col(f"tf{i}") for i in range(len(query.terms))), F.lit(0)) > 0)
-    holding = found.agg(*(F.count_if(F.col(f"tf{i}") > 0).alias(f"n{i}") for i in range(len(query.terms)))).head()
-    score = F.lit(0.0)
-    import math
+    """(message_id, rank, every): the best, i.e. least, bm25 over a message's chunks that hold any term, and whether it holds all.
 
+    A term that may be searched for by evidence is no longer than what chunks share, so it stands whole in one of them.
+    statistics are those of all chunks (chunk_statistics), where pieces are only candidates.
+    """
+    found, stats = term_hits(pieces, query, statistics)
+    score = F.lit(0.0)
     for i in range(len(query.terms)):
-        n = holding[f"n{i}"]
-        idf = math.log((stats["n"] - n + 0.5) / (n + 0.5))
+        n = stats[f"n{i}"] or 0
+        idf = math.log(((stats["n"] or 0) - n + 0.5) / (n + 0.5))
         idf = idf if idf > 0 else LEAST_IDF
         tf = F.col(f"tf{i}")
         score = score + F.lit(idf) * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * F.col("size") / (stats["mean"] or 1.0)))
-    return found.groupBy("message_id").agg(F.min(-score).alias("rank"))
+    every = F.lit(True)
+    for i in range(len(query.terms)):
+        every = every & (F.max(f"tf{i}") > 0)
+    return found.groupBy("message_id").agg(F.min(-score).alias("rank"), every.alias("every"))
 
 
-def matched_messages(messages: DataFrame, sessions: DataFrame, query: Query, every: bool, filter: Filter = Filter(), workspace: str = "", ranked: bool = True) -> DataFrame:  # noqa: A002
+def matched_messages(messages: DataFrame, sessions: DataFrame, query: Query, every: bool, filter: Filter = Filter(), workspace: str = "", ranked: bool = True, evidence: DataFrame | None = None) -> DataFrame:  # noqa: A002
     """(id, session_file, session_id, event_seq, rank) of each message that holds all (or any) terms.
 
     Only keys and scores go on from here; texts are fetched for the page alone. rank is null where a term is too short or too
     long for the index.
     """
-    rows = searchable(messages.where(filter.on_messages()))
-    hits = rows.where(tx.holds_terms(F.col("search_text"), F.col("search_tool"), query, every))
     if ranked and query.indexed:
-        rank = message_evidence(chunks(searchable(messages)), query)
-        hits = hits.join(rank, hits["id"] == rank["message_id"])
+        rank = message_evidence(chunks(searchable(messages)), query) if evidence is None else evidence
+        rank = rank.where("every") if every else rank
+        hits = messages.where(filter.on_messages()).select("id", "session_file", "event_seq").join(rank.select(F.col("message_id").alias("id"), "rank"), "id")
     else:
-        hits = hits.withColumn("rank", F.lit(None).cast("double"))
+        rows = searchable(messages.where(filter.on_messages()))
+        hits = rows.where(tx.holds_terms(F.col("search_text"), F.col("search_tool"), query, every)).withColumn("rank", F.lit(None).cast("double"))
     held = sessions.where(filter.on_sessions(workspace)).select(F.col("file").alias("session_file"), F.col("id").alias("session_id"))
     return hits.select("id", "session_file", "event_seq", "rank").join(held, "session_file").select("id", "session_file", "session_id", "event_seq", "rank")
 
@@ -136,21 +153,30 @@ def search_messages(messages: DataFrame, sessions: DataFrame, raw: str, limit: i
     return shape(matched.orderBy(*page_order()).limit(max(1, limit)), messages, sessions, query)
 
 
-def search_page(messages: DataFrame, sessions: DataFrame, raw: str, limit: int | None, mode: str | None = None, filter: Filter = Filter(), workspace: str = "") -> tuple[DataFrame, int]:  # noqa: A002
-    """(hits, total): the first sessions by their representative hit (all without a limit), and how many sessions there are."""
+def search_page(messages: DataFrame, sessions: DataFrame, raw: str, limit: int | None, mode: str | None = None, filter: Filter = Filter(), workspace: str = "", postings: DataFrame | None = None, statistics: dict | None = None) -> tuple[DataFrame, int]:  # noqa: A002
+    """(hits, total): the first sessions by their representative hit (all without a limit), and how many sessions there are.
+
+    With the published posting table and chunk statistics only candidates are read; the hits are the same.
+    """
     query = parse_query(raw)
-    matched = _relaxed(messages, sessions, query, mode, filter, workspace)
-    chosen = representatives(matched)
+    matched = _relaxed(messages, sessions, query, mode, filter, workspace, postings, statistics)
+    chosen = materialize(representatives(matched), "chosen", F.lit(True))
     page = chosen if limit is None else chosen.orderBy(*page_order()).limit(max(1, limit))
-    return shape(page, messages, sessions, query), chosen.count()
+    return shape(page, messages, sessions, query), counted(chosen)
 
 
-def _relaxed(messages: DataFrame, sessions: DataFrame, query: Query, mode: str | None, filter: Filter, workspace: str) -> DataFrame:  # noqa: A002
+def _relaxed(messages: DataFrame, sessions: DataFrame, query: Query, mode: str | None, filter: Filter, workspace: str, postings: DataFrame | None = None, statistics: dict | None = None) -> DataFrame:  # noqa: A002
     if not query.terms:
         return matched_messages(messages, sessions, Query(("",)), True, filter, workspace, False).where(F.lit(False))
-    matched = matched_messages(messages, sessions, query, mode != "or", filter, workspace)
+    evidence = None
+    if query.indexed:
+        pool = messages
+        if postings is not None and statistics is not None:
+            pool = messages.join(candidates(postings, query).select(F.col("message_id").alias("id")), "id", "left_semi")
+        evidence = materialize(message_evidence(chunks(searchable(pool)), query, statistics if pool is not messages else None), "evidence")
+    matched = matched_messages(messages, sessions, query, mode != "or", filter, workspace, evidence=evidence)
     if mode is None and not matched.limit(1).count():
-        return matched_messages(messages, sessions, query, False, filter, workspace)
+        return matched_messages(messages, sessions, query, False, filter, workspace, evidence=evidence)
     return matched
 
 

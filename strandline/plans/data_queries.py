@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.operators import dedup, hierarchy, nested, schema_drift
+from strandline.plans.search_queries import PARSED
 from strandline.runtime import table
 
 QUERIES = {}
@@ -56,14 +57,6 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.surplus_rows(table(spark, sf_dir, "session_log"))
 
 
-#: The JSON text of data, unwrapped once, or null where it does not parse.
-PARSED = """
-SELECT *, CASE WHEN json_valid(data) THEN
-    CASE WHEN json_type(data) = 'VARCHAR'
-      THEN CASE WHEN json_valid(json_extract_string(data, '$')) THEN json_extract_string(data, '$') END
-      ELSE data END END AS doc
-FROM session_log"""
-
 COPIES = f"""
 SELECT *, row_number() OVER (PARTITION BY session_id, mid, CASE WHEN mid IS NULL THEN coalesce(type, '?') END,
     CASE WHEN mid IS NULL THEN coalesce(seq, -1) END ORDER BY received_at, line_id) AS copy

@@ -13,6 +13,13 @@ from strandline.streaming import store
 
 QUERIES = {}
 SQL = {}
+#: SQL for the JSON text of data, unwrapped once, or null where it does not parse.
+PARSED = """
+SELECT *, CASE WHEN json_valid(data) THEN
+    CASE WHEN json_type(data) = 'VARCHAR'
+      THEN CASE WHEN json_valid(json_extract_string(data, '$')) THEN json_extract_string(data, '$') END
+      ELSE data END END AS doc
+FROM session_log"""
 #: Fixed "now" of the recency queries.
 NOW = 1_775_000_000_000
 
@@ -265,18 +272,13 @@ def scroll_window(spark, d):
     return scroll.windows_around(m, pivots, 5).select("session_file", "pivot_id", F.col("offset").cast("long").alias("offset_"), F.col("id").alias("message_id"))
 
 
-_FILE = "(SELECT min(session_file) FROM (SELECT session_file, count(*) AS n FROM fts_messages GROUP BY 1 HAVING n >= 8))"
-
-
-@query(f"""
-SELECT side, id AS message_id FROM (
-  SELECT 'start' AS side, id, row_number() OVER (ORDER BY coalesce(event_seq, id), id) AS k FROM fts_messages WHERE session_file = {_FILE}
-  UNION ALL SELECT 'end', id, row_number() OVER (ORDER BY coalesce(event_seq, id) DESC, id DESC) FROM fts_messages WHERE session_file = {_FILE}) WHERE k <= 3""")
+@query("""
+SELECT session_file, side, k AS place, id AS message_id FROM (
+  SELECT session_file, 'start' AS side, id, row_number() OVER (PARTITION BY session_file ORDER BY coalesce(event_seq, id), id) AS k FROM fts_messages
+  UNION ALL SELECT session_file, 'end', id, row_number() OVER (PARTITION BY session_file ORDER BY coalesce(event_seq, id) DESC, id DESC) FROM fts_messages) WHERE k <= 3""")
 def scroll_bookends(spark, d):
-    """First and last three messages of a session."""
-    m = _messages(spark, d)
-    file = m.groupBy("session_file").count().where("count >= 8").agg(F.min("session_file")).head()[0]
-    return scroll.bookends(m, file).select("side", F.col("id").alias("message_id"))
+    """First and last three messages of every session."""
+    return scroll.bookends_of_all(_messages(spark, d)).withColumnRenamed("id", "message_id")
 
 
 @query("""
@@ -300,7 +302,7 @@ def session_counts(spark, d):
     return counts.select("session_id", F.explode("counts").alias("type", "n"))
 
 
-_EVENTS = "(SELECT * FROM session_log WHERE seq IS NOT NULL AND json_valid(data) AND json_type(data) = 'OBJECT')"
+_EVENTS = f"(SELECT * EXCLUDE (data, doc), doc AS data FROM ({PARSED}) WHERE seq IS NOT NULL AND doc IS NOT NULL AND json_type(doc) = 'OBJECT')"
 
 
 @query(f"SELECT session_id, json_extract_string(data, '$.name') AS tool, CAST(count(*) AS BIGINT) AS n FROM {_EVENTS} WHERE type = 'tool/call' AND coalesce(json_extract_string(data, '$.name'), '') <> '' GROUP BY 1, 2")
@@ -311,8 +313,10 @@ def tool_call_counts(spark, d):
 
 
 def _plain_events(spark: SparkSession, d: str) -> DataFrame:
-    """Events of the log whose data is a JSON object."""
-    rows = table(spark, d, "session_log").where("seq is not null")
+    """Events of the log whose data is a JSON object, or a JSON string that holds one."""
+    parsed = F.try_parse_json("data")
+    inner = F.when(F.schema_of_variant(parsed) == "STRING", F.try_variant_get(parsed, "$", "string")).otherwise(F.col("data"))
+    rows = table(spark, d, "session_log").where("seq is not null").withColumn("data", inner)
     return rows.where(F.expr("schema_of_variant(try_parse_json(data)) like 'OBJECT%'"))
 
 
@@ -359,12 +363,12 @@ def retention_filter(spark, d):
     return listing.retained(_sessions(spark, d), NOW, 90).select("id", "file")
 
 
-_OLD = "(SELECT file, created_at AS size, CAST(updated_at AS DOUBLE) AS mtime_ms FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY updated_at, id, created_at) AS k FROM fts_sessions WHERE created_at % 3 <> 0) WHERE k = 1)"
+_OLD = "(SELECT file, created_at AS size, CAST(updated_at AS DOUBLE) AS mtime_ms FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY updated_at, id, created_at) AS k FROM fts_sessions WHERE file IS NOT NULL) WHERE k = 1)"
 
 
 def _scan_like(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     new = _sessions(spark, d).select("file", F.col("created_at").alias("size"), F.col("updated_at").cast("double").alias("mtime_ms"), F.lit(1.0).alias("ctime_ms"))
-    old = bookmarks.latest_rows(table(spark, d, "fts_sessions").where("created_at % 3 <> 0"), ["file"], ["updated_at", "id", "created_at"])
+    old = bookmarks.latest_rows(table(spark, d, "fts_sessions").where("file is not null"), ["file"], ["updated_at", "id", "created_at"])
     return new, old.select("file", F.col("created_at").alias("size"), F.col("updated_at").cast("double").alias("mtime_ms"), F.lit(1.0).alias("ctime_ms"))
 
 
@@ -374,12 +378,82 @@ def change_detection(spark, d):
     return store.changes(*_scan_like(spark, d))
 
 
-@query("SELECT DISTINCT m.session_file AS file FROM fts_messages m WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT file FROM session_log) l WHERE l.file = m.session_file)")
+@query("""SELECT DISTINCT s.file FROM fts_sessions s WHERE s.file IS NOT NULL AND NOT EXISTS (SELECT 1 FROM session_log l WHERE l.file = s.file)
+  AND NOT EXISTS (SELECT 1 FROM fts_messages m WHERE m.session_file = s.file)""")
 def orphan_files(spark, d):
-    """Indexed files that the log doesn't have."""
-    indexed = _messages(spark, d).select(F.col("session_file").alias("file"))
-    log = table(spark, d, "session_log").select("file").distinct()
-    return store.orphans(indexed, log, log)
+    """Sessions' files that neither the messages nor the log have."""
+    known = _messages(spark, d).select(F.col("session_file").alias("file"))
+    return store.orphans(table(spark, d, "fts_sessions").where("file is not null"), known, table(spark, d, "session_log").select("file").distinct())
+
+
+_ON_DISK = "(SELECT file, CAST(count(*) AS BIGINT) AS size FROM session_log WHERE file IS NOT NULL GROUP BY 1)"
+
+
+@query(f"SELECT s.file FROM {SESSIONS} s WHERE NOT EXISTS (SELECT 1 FROM {_ON_DISK} l WHERE l.file = s.file)")
+def removed_logs(spark, d):
+    """Indexed files that a complete scan no longer finds."""
+    disk = table(spark, d, "session_log").where("file is not null").groupBy("file").agg(F.count("*").alias("size")).withColumns({"mtime_ms": F.lit(1.0), "ctime_ms": F.lit(1.0)})
+    known = _sessions(spark, d).select("file", F.col("created_at").alias("size"), F.lit(1.0).alias("mtime_ms"), F.lit(1.0).alias("ctime_ms"))
+    return store.removed_files(store.changes(disk, known), True)
+
+
+@query(f"""
+SELECT s.file FROM {SESSIONS} s LEFT JOIN (SELECT session_file AS file, count(*) AS n FROM fts_messages GROUP BY 1) m ON m.file = s.file
+LEFT JOIN {_OLD} c ON c.file = s.file WHERE NOT coalesce(s.created_at IS NOT DISTINCT FROM c.size AND CAST(s.updated_at AS DOUBLE) IS NOT DISTINCT FROM c.mtime_ms AND coalesce(m.n, 0) = 2, false)""")
+def stale_files(spark, d):
+    """Files whose checkpoint doesn't fit the session or its number of messages any more."""
+    new, old = _scan_like(spark, d)
+    checks = old.withColumns({"parser_version": F.lit("1"), "message_count": F.lit(2).cast("long")})
+    return store.stale(new, checks, _messages(spark, d), "1")
+
+
+_MARKS = "(SELECT CAST(m.id AS VARCHAR) AS id, s.id AS session_id, m.id AS message_id FROM fts_messages m JOIN (SELECT file, min(id) AS id FROM fts_sessions WHERE id IS NOT NULL GROUP BY file) s ON s.file = m.session_file)"
+
+
+@query(f"""
+WITH files AS (SELECT id AS session_id, count(DISTINCT file) AS files, min(file) AS file FROM fts_sessions WHERE id IS NOT NULL GROUP BY 1)
+SELECT b.id, CASE WHEN f.files IS NULL THEN 'session-missing' WHEN f.files > 1 THEN 'ambiguous' WHEN m.anchor_id IS NULL THEN 'unresolved' ELSE 'resolved' END AS status
+FROM {_MARKS} b LEFT JOIN files f ON f.session_id = b.session_id LEFT JOIN fts_messages m ON m.session_file = f.file AND m.id = b.message_id""")
+def bookmark_resolutions(spark, d):
+    """What becomes of a bookmark of every message by session id and row alone."""
+    s = table(spark, d, "fts_sessions").where("id is not null")
+    first = s.groupBy("file").agg(F.min("id").alias("sessionId"))
+    marks = _messages(spark, d).join(first.withColumnRenamed("file", "session_file"), "session_file").select(F.col("id").cast("string").alias("id"), "sessionId", F.col("id").alias("messageId"))
+    return bookmarks.resolutions(marks, s, _messages(spark, d)).select("id", "status")
+
+
+@query(f"""
+SELECT b.id, NOT EXISTS (SELECT 1 FROM fts_sessions s WHERE s.id = b.session_id) AS stale, m.anchor_id IS NOT NULL AS anchor_available
+FROM {_MARKS} b JOIN fts_messages m ON m.id = b.message_id WHERE contains(lower(coalesce(m.text, '')), 'step') ORDER BY m.event_seq DESC NULLS LAST, b.id LIMIT 200""")
+def bookmark_list(spark, d):
+    """The last 200 bookmarks whose note holds a word, with whether session and anchor are there."""
+    s = table(spark, d, "fts_sessions").where("id is not null")
+    first = s.groupBy("file").agg(F.min("id").alias("sessionId"))
+    m = _messages(spark, d).join(first.withColumnRenamed("file", "session_file"), "session_file")
+    marks = m.select(F.col("id").cast("string").alias("id"), "sessionId", F.col("session_file").alias("sessionFile"), F.col("anchor_id").alias("anchorId"), F.lit("").alias("label"), F.col("text").alias("note"), F.lit("").alias("title"), F.col("event_seq").alias("updatedAt"), F.lit(0).alias("line_no"))
+    found = bookmarks.listed(marks, s, _messages(spark, d), "STEP", 200)
+    return found.select("id", "stale", F.col("anchorAvailable").alias("anchor_available"))
+
+
+@query(f"""
+WITH hit AS (SELECT m.*, e.rank FROM ({_matched(['compiler', 'linker'], 'OR')}) m JOIN ({_evidence(['compiler', 'linker'])}) e ON e.message_id = m.id),
+best AS (SELECT *, count(*) OVER (PARTITION BY session_file) AS match_count, row_number() OVER (PARTITION BY session_file ORDER BY round(rank, 9), event_seq NULLS FIRST, id) AS k FROM hit)
+SELECT session_id, session_file, round(rank, 6) AS rank, CAST(match_count AS BIGINT) AS match_count FROM best WHERE k = 1""")
+def search_ranked(spark, d):
+    """The best hit's evidence of each session, by any term."""
+    hits, _ = search.search_page(_messages(spark, d), _sessions(spark, d), "compiler linker", None, "or")
+    return hits.select("session_id", "session_file", F.round("rank", 6).alias("rank"), "match_count")
+
+
+@query(f"""
+WITH hit AS (SELECT m.*, e.rank FROM ({_matched(['glacier', 'step'], 'AND')}) m JOIN ({_evidence(['glacier', 'step'])}) e ON e.message_id = m.id)
+SELECT CAST(count(DISTINCT session_file) AS BIGINT) AS total FROM hit""")
+def search_total(spark, d):
+    """The exact number of sessions of a search, through the posting table."""
+    m = _messages(spark, d)
+    pieces = search.chunks(search.searchable(m))
+    _, total = search.search_page(m, _sessions(spark, d), "glacier step", 5, "and", postings=search.trigram_postings(m), statistics=search.chunk_statistics(pieces))
+    return spark.createDataFrame([(total,)], "total bigint")
 
 
 @query("SELECT file FROM fts_sessions UNION SELECT session_file FROM fts_messages UNION SELECT file FROM session_log")
@@ -416,3 +490,20 @@ def status_counts(spark, d):
     m = _messages(spark, d).agg(F.count("*").alias("messages"), F.countDistinct("session_file").alias("indexed_files"))
     s = table(spark, d, "fts_sessions").agg(F.countDistinct("id").alias("sessions"))
     return m.join(s)  # one row each
+
+
+@query(f"""
+WITH hit AS ({_matched(['season'], 'AND')}), counted AS (SELECT session_id, session_file, count(*) AS match_count FROM hit GROUP BY ALL),
+rooted AS (SELECT c.*, coalesce(r.lineage, c.session_id) AS lineage FROM counted c LEFT JOIN ({SQL['lineage_roots']}) r ON r.session_id = c.session_id)
+SELECT lineage, CAST(sum(least(match_count, 3)) AS BIGINT) AS hit_rows, CAST(count(*) AS BIGINT) AS sessions FROM rooted GROUP BY 1""")
+def lineage_hit_groups(spark, d):
+    """Hits and sessions of each transitive lineage, at most three hits a session."""
+    hits, _ = search.search_page(_messages(spark, d), _sessions(spark, d), "season", None)
+    rows = hits.select("session_id", "session_file", "message_id", "snippet", "rank", "match_count", F.coalesce("event_seq", F.lit(0)).alias("arrival"))
+    return search.lineage_groups(rows, lineage.lineage_roots(table(spark, d, "fts_sessions")), 3).select("lineage", "hit_rows", "sessions")
+
+
+@query(f"""SELECT file, CASE WHEN id = 'harbor' OR file = 'harbor' THEN 0 ELSE 1 END AS tier FROM {SESSIONS} WHERE contains(lower(file), '3') OR contains(lower(id), '3') {_BYTIME} LIMIT 1""")
+def find_session(spark, d):
+    """The newest session whose id or file holds a part."""
+    return listing.find_session(_sessions(spark, d), "3").select("file", F.lit(1).alias("tier"))
