@@ -322,7 +322,7 @@ class FoldedLog:
         if reason not in self.reasons:
             self.reasons.append(reason)
 
-    def finish(self) -> tuple[dict, list[dict]]:
+    def finish(self, partial: bool = False) -> tuple[dict, list[dict]]:
         if self.error is None and self.surface.header is None:
             self.error = LogError("no header")
         header = self.surface.header or {}
@@ -335,7 +335,7 @@ class FoldedLog:
         rows: list[dict] = []
         first = last = ""
         used = 0
-        if self.error is None:
+        if self.error is None or partial and self.surface.header is not None:
             visible = [(e, {"user/message": "user", "assistant/message": "assistant"}.get(e["type"])) for e in self.surface.by_source()]
             for e, role in sorted(visible + [(c, "tool") for c in self.calls], key=lambda x: x[0]["seq"]):
                 text, tool = (message_text(e), "") if role in ("user", "assistant") else ("", e["data"].get("name", "")) if role == "tool" else ("", "")
@@ -379,19 +379,19 @@ def _clean(x: object) -> object:
     return [_clean(v) for v in x] if isinstance(x, list) else x
 
 
-def fold_logs(lines: DataFrame, max_messages: int | None = MAX_MESSAGES, max_text_bytes: int | None = MAX_TEXT_BYTES, extra_types: frozenset[str] = frozenset()) -> tuple[DataFrame, DataFrame]:
+def fold_logs(lines: DataFrame, max_messages: int | None = MAX_MESSAGES, max_text_bytes: int | None = MAX_TEXT_BYTES, extra_types: frozenset[str] = frozenset(), partial: bool = False) -> tuple[DataFrame, DataFrame]:
     """(session rows, message rows) of log lines (file, line_no, line).
 
     Lines are sorted by (file, line_no) within each task and streamed, so a task holds one log's visible messages. The budgets
     bound what is given of a log and are reported as its reasons; None is no budget. extra_types are event types that a log may
     hold besides the known ones. A log with a bad line, seq gap or unknown required event gives a session row with ok = false
-    and its error, and no messages.
+    and its error, and no messages; with partial, those before the line that couldn't be taken.
     """
-    sessions, messages, _ = fold_on(lines, None, max_messages, max_text_bytes, extra_types)
+    sessions, messages, _ = fold_on(lines, None, max_messages, max_text_bytes, extra_types, partial=partial)
     return sessions, messages
 
 
-def fold_on(lines: DataFrame, states: DataFrame | None, max_messages: int | None = MAX_MESSAGES, max_text_bytes: int | None = MAX_TEXT_BYTES, extra_types: frozenset[str] = frozenset(), keep: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+def fold_on(lines: DataFrame, states: DataFrame | None, max_messages: int | None = MAX_MESSAGES, max_text_bytes: int | None = MAX_TEXT_BYTES, extra_types: frozenset[str] = frozenset(), keep: bool = False, partial: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(session rows, message rows, states) of lines as sources.logs gives them, each log folded on from the state (file, state_version, state) of their lines so far.
 
     A log in lines without a state is folded from its first line; one in states without lines is given as it was. With keep,
@@ -404,7 +404,7 @@ def fold_on(lines: DataFrame, states: DataFrame | None, max_messages: int | None
 
         def emit(log: FoldedLog) -> Iterator[pa.RecordBatch]:
             blob = pickle.dumps(log) if keep and log.error is None else None
-            meta, rows = log.finish()
+            meta, rows = log.finish(partial)
             out = [{"meta": meta, "message": None}] + [{"meta": None, "message": r} for r in rows]
             if blob is not None:
                 yield pa.RecordBatch.from_pylist([{"carried": {"file": log.file, "state_version": STATE_VERSION, "state": blob}}], _FOLDED)

@@ -77,6 +77,7 @@ def build(spark: SparkSession, root: str, store: SnapshotStore, force: bool = Fa
             "removed": removed.count(), "failed": failed.count(), "raced": counted(failed), "delta": facts["delta"] - counted(again), "reread": counted(again), "bytes": facts["bytes"] or 0,
             "complete": complete, "errors": [r["error"] for r in errors.orderBy("error").limit(20).collect()],
         }
+        messages = messages.withColumn("id", F.xxhash64("session_file", "anchor_id", "event_seq", "role", "tool_name"))
         store.upsert({"sessions": (fresh, gone), "messages": (messages, gone), "checkpoints": (checks, gone), "folds": (folds, gone), "failures": (failed, gone.union(failed.select("file")))}, batch=batch, state={"report": report})
     return report
 
@@ -113,6 +114,10 @@ class Follower:
         self._stop, self._wanted, self._one = threading.Event(), threading.Event(), threading.Lock()
         self._thread: threading.Thread | None = None
 
+    @property
+    def running(self) -> bool:
+        return self._one.locked()
+
     def step(self) -> dict:
         """One build; a second caller waits for it and then has its own."""
         with self._one:

@@ -264,6 +264,32 @@ def test_stream_source_reads_tails(spark, tmp_path):
     assert len(list(logs.read_part(part))) == 5 and len(logs._head_bytes(part, 4096)) < os.path.getsize(path) / 2
 
 
+def test_engine_over_a_store_tells_what_is_missing(spark, tmp_path):
+    root, store = str(tmp_path / "logs"), SnapshotStore(spark, f"file://{tmp_path}/store")
+    write(f"{root}/one/session.v3.jsonl.zstd", pack(header(id="one"), user(0, "a glacier melts")))
+    ingest.build(spark, root, store)
+    e = Engine.of_store(store, root=root)
+    hit = e.search("glacier", mode="full")
+    assert hit["totalExact"] and hit["coverage"]["complete"] and e.status()["health"] == "ok"
+    write(f"{root}/two/session.v3.jsonl.zstd", pack(header(id="two"), user(0, "another glacier"), "x" * 10, user(2, "gap")))
+    report = e.refresh()
+    assert report["added"] == 1 and report["failed"] == 1
+    hit = e.search("glacier", mode="full", max_line_bytes=4 << 20)
+    assert {h["sessionId"] for h in hit["hits"]} == {"one", "two"} and not hit["totalExact"] and hit["coverage"]["diagnostics"][0]["file"].endswith("two/session.v3.jsonl.zstd")
+    s = e.status()
+    assert s["health"] == "partial" and s["lastReport"] == report and s["dirty"] == 0 and not s["building"] and not e.cancel()
+    with pytest.raises(ValueError):
+        e.search("glacier", max_line_bytes=1)
+    f = ingest.follow(spark, root, store, poll=0.3, debounce=0.1)
+    write(f"{root}/three/session.v3.jsonl.zstd", pack(header(id="three"), user(0, "third")))
+    for _ in range(100):
+        if store.read("sessions").count() == 2:
+            break
+        __import__("time").sleep(0.5)
+    f.stop()
+    assert store.read("sessions").count() == 2 and f.error is None
+
+
 def test_vendor_types_are_given_exactly():
     odd = {"type": "web/some-search", "seq": 0, "time": 1, "data": {}}
     assert not folded(header(), odd)[0]["ok"] and folded(header(), odd, extra_types=frozenset({"web/some-search"}))[0]["ok"]
