@@ -95,9 +95,11 @@ def elements_of(documents: list[bytes], fields: dict[str, str | None] = FIELDS,
                 steps.append(f".{ix.key(before)}[0]" if sole[at_c] else f".{ix.key(before)}")
             at_c = int(ix.owner[before])
         base = path.get(at_c, "")
+        while not base and steps:  # no dot where nothing stands before it
+            step = steps.pop()
+            base = step[1:] if step[0] == "." else step
         steps.reverse()
-        tail = "".join(steps)
-        path[c] = base + tail if base or tail[:1] != "." else tail[1:]
+        path[c] = base + "".join(steps)
         near[c] = above_c if above_c >= 0 else near.get(at_c, -1)
     base = [f"{path[h]}.{names[n]}" if path[h] else names[n] for h, n in zip(holder.tolist(), field_name.tolist())]
     full = [f"{base[w]}[{p}]" for w, p in zip(which.tolist(), position.tolist())]

@@ -113,6 +113,12 @@ def test_index_tells_valid_documents(docs):
     assert StructuralIndex([t.encode() for t in texts]).valid.tolist() == [ok(t) for t in texts]
 
 
+def test_empty_keys_put_no_dot():
+    docs = [{"": {"a": {"content": "x"}}}, {"": {"": {"content": "x"}}}, {".": {"content": "x"}}, {"": [{"content": "x"}]}]
+    _, cols = elements_of([json.dumps(d).encode() for d in docs])
+    assert cols["path"] == [p for d in docs for p, _ in brute(d)]
+
+
 def test_depth_has_no_limit():
     deep = '{"a":' * 60_000 + '{"content":[{"type":"t"}]}' + "}" * 60_000
     which, cols = elements_of([b'{"content":"x"}', deep.encode(), deep[:-1].encode()])
