@@ -78,11 +78,27 @@ def legacy_anchor(messages: DataFrame, sessions: DataFrame, session_id: str, row
     return {"anchorId": found[0]["anchor_id"], "evidence": found[0]["evidence"] or "", "reason": "requires-bookmark-evidence"}
 
 
+#: Numbers of a session's order that are ranked together.
+ORDER_BLOCK = 4096
+
+
+def _places(messages: DataFrame) -> DataFrame:
+    """(session_file, id, at): each message's place in its session from 1, ranked within blocks of the order and put behind the
+    messages of the blocks before; so a hot session is spread over many tasks."""
+    seq, number = _order()
+    rows = messages.select("session_file", "id", "event_seq", F.floor(seq / ORDER_BLOCK).alias("block"))
+    sizes = rows.groupBy("session_file", "block").agg(F.count("*").alias("n"))
+    before = sizes.withColumn("before", F.sum("n").over(Window.partitionBy("session_file").orderBy("block")) - F.col("n")).drop("n")
+    inner = rows.withColumn("inner", F.row_number().over(Window.partitionBy("session_file", "block").orderBy(seq, number)))
+    same = F.col("a.session_file").eqNullSafe(F.col("b.session_file")) & (F.col("a.block") == F.col("b.block"))
+    return inner.alias("a").join(before.alias("b"), same).select("a.session_file", "a.id", (F.col("inner") + F.col("before")).alias("at"))
+
+
 def windows_around(messages: DataFrame, pivots: DataFrame, window: int = 5) -> DataFrame:
     """The same for many anchors at once: (pivot_id, offset, id) for pivots (session_file, pivot_id)."""
     w = max(1, min(20, int(window)))
     seq, number = _order()
-    ranked = messages.join(pivots.select("session_file").distinct(), "session_file", "left_semi").select("session_file", "id", F.row_number().over(Window.partitionBy("session_file").orderBy(seq, number)).alias("at"))
+    ranked = _places(messages.join(pivots.select("session_file").distinct(), "session_file", "left_semi"))
     centre = ranked.join(pivots.select("session_file", F.col("pivot_id").alias("id")), ["session_file", "id"]).select("session_file", F.col("id").alias("pivot_id"), F.explode(F.sequence(F.col("at") - w, F.col("at") + w)).alias("place"), F.col("at").alias("centre"))
     near = ranked.withColumnRenamed("at", "place")
     return centre.join(near, ["session_file", "place"]).select("session_file", "pivot_id", (F.col("place") - F.col("centre")).alias("offset"), "id")

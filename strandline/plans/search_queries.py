@@ -335,7 +335,19 @@ def session_metadata(spark, d):
     return m.select("session_id", "last_time", F.md5("first_user_text").alias("first_user_md5"))
 
 
-@query()
+_TITLED = f"(SELECT session_id, seq, regexp_replace(json_extract_string(data, '$.title'), '^{WHITE}+|{WHITE}+$', '', 'g') AS t FROM {_EVENTS} WHERE type = 'session/title')"
+_PAIRS = "string_agg(k || ':' || n, ', ' ORDER BY {0})"
+
+
+@query(f"""
+WITH by_type AS (SELECT session_id, type AS k, count(*) AS n, row_number() OVER (PARTITION BY session_id ORDER BY count(*) DESC, type) AS place FROM {_EVENTS} GROUP BY 1, 2),
+by_tool AS (SELECT session_id, json_extract_string(data, '$.name') AS k, count(*) AS n FROM {_EVENTS} WHERE type = 'tool/call' AND coalesce(json_extract_string(data, '$.name'), '') <> '' GROUP BY 1, 2),
+facts AS (SELECT session_id, max(time) AS last_time FROM {_EVENTS} GROUP BY 1),
+titles AS (SELECT session_id, max_by(t, (seq, t)) AS title FROM {_TITLED} WHERE t <> '' GROUP BY 1),
+firsts AS (SELECT session_id, min_by(said, (seq, said)) AS said FROM {_SAID} WHERE type = 'user/message' AND said <> '' GROUP BY 1)
+SELECT s.id, s.file, s.workspace, s.created_at, f.last_time, greatest(0, f.last_time - s.created_at) AS duration_ms, coalesce(t.title, substr(coalesce(u.said, ''), 1, 80)) AS title, s.agent_preset,
+  (SELECT {_PAIRS.format('place')} FROM by_type c WHERE c.session_id = s.id AND place <= 12) AS counts, coalesce((SELECT {_PAIRS.format('k')} FROM by_tool c WHERE c.session_id = s.id), '') AS tool_calls
+FROM {SESSIONS} s JOIN facts f ON f.session_id = s.id LEFT JOIN titles t ON t.session_id = s.id LEFT JOIN firsts u ON u.session_id = s.id""")
 def session_summaries(spark, d):
     """Full metadata of each session, with its counts as text."""
     m = metadata.session_metadata(_plain_events(spark, d)).withColumnRenamed("session_id", "id")
