@@ -599,7 +599,7 @@ def unified_table(df: DataFrame, typed: bool = False) -> DataFrame:
     edges = named.where("name <> path and not name rlike '@[0-9]+$'").groupBy("record_type", F.col("path").alias("new"), F.col("name").alias("old")).agg(F.count_distinct("writer").alias("writers"))
     own = named.select("writer", "record_type", "name").distinct().join(_canonical(edges), ["record_type", "name"], "left").withColumn("root", F.coalesce("root", "name"))
     canon = own.groupBy("writer", "record_type", "root").agg(F.min("name").alias("name"), F.count("*").alias("n")).where("n = 1 and name <> root").drop("n")
-    final = named.join(canon, ["writer", "record_type", "name"], "left").withColumn("root", F.coalesce("root", "name"))
+    final = materialize(named.join(canon, ["writer", "record_type", "name"], "left").withColumn("root", F.coalesce("root", "name")), "final")
     maps = final.where("root <> path").groupBy("writer", "file_no", "record_type").agg(F.map_from_entries(F.collect_list(F.struct("path", "root"))).alias("names"))
     by_file = materialize(maps.groupBy("writer", "file_no").agg(F.map_from_entries(F.collect_list(F.struct("record_type", "names"))).alias("names")), "projections")
     by_file = F.broadcast(by_file) if stored_bytes(by_file) <= BROADCAST_BYTES else by_file
