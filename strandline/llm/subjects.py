@@ -23,8 +23,6 @@ THRESHOLD = 0.25
 CLOSE = 0.6
 #: Latin-script terms of these lengths and more are also found with one letter doubled, or missing or swapped.
 DOUBLED_LENGTH, TYPO_LENGTH = 3, 6
-#: Labelled documents that calibration looks at, at most.
-CALIBRATION_LABELS = 50_000
 
 #: The most common function words of each language, which tell the language of a sentence.
 FUNCTION_WORDS = {
@@ -230,21 +228,23 @@ def assign_subjects(df: DataFrame, subjects: DataFrame, terms: str = TERMS, labe
 
 
 def calibrate(shares: DataFrame, labels: DataFrame, steps: int = 40, sigmas: float = 3.0) -> dict[str, float]:
-    """Threshold of each subject that labelled documents ask for, at most CALIBRATION_LABELS of them, chosen by hash.
+    """Threshold of each subject that labelled documents ask for; all of them count.
 
     Every threshold k / steps is compared with the stated THRESHOLD by the documents on which the two disagree: it is taken only
     where it is right more often by `sigmas` standard errors (McNemar), as a part of the labels is wrong; of several, the one
-    that is right most often. A subject without such a threshold keeps THRESHOLD.
+    that is right most often, then the nearest to THRESHOLD, then the lower. A subject without such a threshold keeps THRESHOLD.
+
+    Documents are counted by the last k that their share reaches, and only these counts meet every k. A label without a share
+    is missed at any threshold, so it tells between none.
     """
-    labelled = labels.where("subject is not null and doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id")).limit(CALIBRATION_LABELS)
-    truth = labels.join(labelled, "doc_id", "left_semi").select("doc_id", "subject").distinct().withColumn("yes", F.lit(True))
-    grid = F.explode(F.sequence(F.lit(1), F.lit(steps - 1))).alias("k")
-    own = shares.join(labelled, "doc_id", "left_semi").select("doc_id", "subject", "share")
-    rows = own.join(truth, ["doc_id", "subject"], "full").select("subject", F.coalesce("share", F.lit(0.0)).alias("share"), F.coalesce("yes", F.lit(False)).alias("yes"), grid)
-    right, stated = (F.col("share") >= F.col("k") / steps - 1e-9) == F.col("yes"), (F.col("share") >= THRESHOLD - 1e-9) == F.col("yes")
-    scored = rows.groupBy("subject", "k").agg(F.count_if(right & ~stated).alias("better"), F.count_if(stated & ~right).alias("worse"))
+    truth = labels.where("subject is not null and doc_id is not null").groupBy("doc_id").agg(F.collect_set("subject").alias("own"))
+    reached, stated = F.floor((F.col("share") + 1e-9) * steps).alias("reached"), (F.col("share") >= THRESHOLD - 1e-9).alias("stated")
+    counts = shares.join(truth, "doc_id").groupBy("subject", reached, stated, F.array_contains("own", F.col("subject")).alias("yes")).agg(F.count("*").alias("n"))
+    rows = counts.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(steps - 1))))
+    right, before = (F.col("reached") >= F.col("k")) == F.col("yes"), F.col("stated") == F.col("yes")
+    scored = rows.groupBy("subject", "k").agg(*(F.sum(F.when(a & ~b, F.col("n")).otherwise(0)).alias(c) for c, a, b in (("better", right, before), ("worse", before, right))))
     sound = scored.where(F.col("better") - F.col("worse") > sigmas * F.sqrt(F.col("better") + F.col("worse")))
-    best = sound.groupBy("subject").agg(F.max_by("k", F.struct(F.col("better") - F.col("worse"), -F.abs(F.col("k") / steps - THRESHOLD))).alias("k"))
+    best = sound.groupBy("subject").agg(F.max_by("k", F.struct(F.col("better") - F.col("worse"), -F.abs(F.col("k") / steps - THRESHOLD), -F.col("k"))).alias("k"))
     return {r["subject"]: r["k"] / steps for r in best.collect()}
 
 

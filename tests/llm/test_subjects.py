@@ -60,6 +60,14 @@ def test_calibration_follows_labels_beyond_their_noise(spark):
     assert sb.calibrate(shares, labels.limit(0)) == {} and sb.calibrate(shares.limit(0), labels.limit(0)) == {}
 
 
+def test_calibration_counts_every_label(spark):
+    """Ten of 200 000 labelled documents speak for a threshold, the least that can; a part of the labels would miss some."""
+    shares = spark.range(200_000).selectExpr("id as doc_id", "'law' as subject", "if(id % 20000 = 7, 0.3d, 0.9d) as share")
+    labels = spark.range(200_000).selectExpr("id as doc_id", "if(id % 20000 = 7, 'sport', 'law') as subject")
+    assert sb.calibrate(shares, labels) == {"law": 0.325}
+    assert sb.calibrate(shares.where("doc_id <> 7"), labels) == {}
+
+
 HELD_OUT = [  # sentences written by hand, after the terms, none from the tables
     ("The surgeon removed the patient's appendix before the infection could spread.", "medicine"), ("Her asthma got worse and the doctor changed the prescription.", "medicine"),
     ("Nach der Operation musste der Patient noch eine Woche im Krankenhaus bleiben.", "medicine"), ("Le médecin a prescrit un antibiotique contre la fièvre.", "medicine"), ("医生给病人开了抗生素。", "medicine"),
